@@ -1,0 +1,183 @@
+"""Texts as one byte array: words, lines and shingles without Python loops.
+
+A block of documents is a ``uint8`` buffer with ``int64`` offsets. Words are
+the runs of ``[^\\x20\\x09-\\x0D]``; A-Z are lower-cased inside hashes where
+asked. All hashes are 64 bits wide; they stand for their strings.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+
+U = np.uint64
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
+NONSPACE = ~SPACE
+BLOCK_BYTES = 1 << 20
+
+_rng = np.random.default_rng(20240101)
+_RAW = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
+_LOW = _RAW.copy()
+_LOW[65:91] = _RAW[97:123]
+_BASE = U(0x9E3779B97F4A7C15 | 3)
+_BASE_INV = U(pow(int(_BASE), -1, 1 << 64))
+MULT = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) * U(2) + U(1)
+_powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
+
+
+def mix(h: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit words that spreads every bit."""
+    h = h ^ (h >> U(30))
+    h *= U(0xBF58476D1CE4E5B9)
+    h ^= h >> U(27)
+    h *= U(0x94D049BB133111EB)
+    h ^= h >> U(31)
+    return h
+
+
+def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if len(_powers[0]) < n:
+        size = max(n, BLOCK_BYTES + 1)
+        for k, b in enumerate((_BASE, _BASE_INV)):
+            p = np.full(size, b, U)
+            p[0] = 1
+            _powers[k] = np.cumprod(p)
+    return _powers[0][:n], _powers[1]
+
+
+class Block:
+    """Some documents' texts, back to back."""
+
+    def __init__(self, buf: np.ndarray, offs: np.ndarray):
+        self.buf, self.offs, self.n = buf, offs, len(offs) - 1
+        self.lens = np.diff(offs)
+
+    def prefix(self, lower: bool) -> np.ndarray:
+        """Sums of the polynomial hash up to each byte."""
+        out = np.empty(len(self.buf) + 1, U)
+        out[0] = 0
+        table = _LOW if lower else _RAW
+        np.cumsum(table[self.buf] * _power(len(self.buf))[0], out=out[1:])
+        return out
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray, lower: bool = True, prefix: np.ndarray | None = None) -> np.ndarray:
+        p = self.prefix(lower) if prefix is None else prefix
+        if not len(starts):
+            return np.empty(0, U)
+        inv = _power(len(self.buf) + 1)[1]
+        return mix((p[ends] - p[starts]) * inv[starts])
+
+    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, ends, and for each document the index of its first word (n + 1)."""
+        ns = NONSPACE[self.buf]
+        if not len(ns):
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(self.n + 1, np.int64)
+        first, last = ns.copy(), ns.copy()
+        first[1:] &= ~ns[:-1]
+        last[:-1] &= ~ns[1:]
+        full = self.lens > 0
+        a, z = self.offs[:-1][full], self.offs[1:][full] - 1
+        first[a], last[z] = ns[a], ns[z]
+        starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+        return starts, ends, np.searchsorted(starts, self.offs)
+
+    def lines(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, ends without the newline, and each document's first line (n + 1).
+
+        An empty document has one empty line.
+        """
+        cut = np.flatnonzero(self.buf == 10)
+        doc = np.searchsorted(self.offs, cut, side="right") - 1
+        per = np.bincount(doc, minlength=self.n) + 1
+        first = np.concatenate([[0], np.cumsum(per)])
+        starts, ends = np.empty(first[-1], np.int64), np.empty(first[-1], np.int64)
+        starts[first[:-1]], ends[first[1:] - 1] = self.offs[:-1], self.offs[1:]
+        inner = np.ones(first[-1], bool)
+        inner[first[:-1]] = False
+        starts[inner] = cut + 1
+        inner = np.ones(first[-1], bool)
+        inner[first[1:] - 1] = False
+        ends[inner] = cut
+        return starts, ends, first
+
+    def count(self, table: np.ndarray) -> np.ndarray:
+        """Bytes of each document for which ``table`` holds."""
+        c = np.concatenate([[0], np.cumsum(table[self.buf], dtype=np.int64)])
+        return c[self.offs[1:]] - c[self.offs[:-1]]
+
+
+def owner(first: np.ndarray) -> np.ndarray:
+    """The document of each word or line, from the documents' first indices."""
+    return np.repeat(np.arange(len(first) - 1), np.diff(first))
+
+
+def shingles(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all k-word windows and each document's first window (n + 1).
+
+    A document with 1 to k-1 words has one window, its whole sequence.
+    """
+    per = np.diff(first)
+    full = np.maximum(per - (k - 1), 0)
+    short = (per > 0) & (per < k)
+    begin = np.concatenate([[0], np.cumsum(full + short)])
+    at = np.repeat(first[:-1] - begin[:-1], full + short) + np.arange(begin[-1])
+    out = np.zeros(begin[-1], U)
+    size = np.repeat(np.minimum(per, k), full + short)
+    last = len(words) - 1
+    for j in range(k):
+        w = words[np.minimum(at + j, last)] * MULT[j] if len(words) else out
+        out += w if not short.any() else np.where(j < size, w, U(0))
+    return mix(out + size.astype(U) * MULT[63]), begin
+
+
+def distinct(keys: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each document's distinct keys in ascending order, and their first indices."""
+    doc = owner(first)
+    order = np.lexsort((keys, doc))
+    k, d = keys[order], doc[order]
+    keep = np.ones(len(k), bool)
+    keep[1:] = (k[1:] != k[:-1]) | (d[1:] != d[:-1])
+    k, d = k[keep], d[keep]
+    return k, np.searchsorted(d, np.arange(len(first)))
+
+
+def repeated(keys: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Flags: this key occurs more than once in its document; and it occurred before."""
+    n = len(keys)
+    again, before = np.zeros(n, bool), np.zeros(n, bool)
+    if n > 1:
+        k = mix(keys + owner(first).astype(U) * MULT[62])
+        order = np.argsort(k, kind="stable")
+        same = k[order][1:] == k[order][:-1]
+        before[order[1:][same]] = True
+        again[order[1:][same]] = True
+        again[order[:-1][same]] = True
+    return again, before
+
+
+def blocks(batch: pa.RecordBatch | pa.Table, column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, Block]]:
+    """Cut a batch into runs of rows of about ``limit`` bytes of text; null is empty.
+
+    Yields first row, end row, block. One document is never cut: a run holds
+    at least one row, so memory follows the longest text, not the batch.
+    """
+    col = batch.column(column)
+    if isinstance(col, pa.ChunkedArray):
+        col = col.combine_chunks()
+    if col.null_count:
+        col = col.fill_null("")
+    if not len(col):
+        return
+    wide = pa.types.is_large_string(col.type) or pa.types.is_large_binary(col.type)
+    _, off, data = col.buffers()
+    offs = np.frombuffer(off, np.int64 if wide else np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
+    buf = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+    i = 0
+    while i < len(col):
+        j = max(i + 1, int(np.searchsorted(offs, offs[i] + limit, side="right")) - 1)
+        j = min(j, len(col))
+        yield i, j, Block(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+        i = j
