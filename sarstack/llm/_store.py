@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..workers import ready
 
 def shared_dir(spark: SparkSession) -> str:
     """URI of a folder that the driver and all executors share.
@@ -14,6 +15,7 @@ def shared_dir(spark: SparkSession) -> str:
     It is the session's ``spark.checkpoint.dir``. Only where that is unset
     (tests, one machine) a temporary folder is made and set.
     """
+    ready(spark)
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         current = spark.sparkContext.getCheckpointDir()

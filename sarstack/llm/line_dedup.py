@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from ..workers import ready
 from ._bytes import Block, blocks, distinct, mix, owner
 from ._store import fresh_dir, written
 
@@ -64,6 +65,7 @@ def count_lines(docs: DataFrame, min_key: int = 1) -> DataFrame:
                 own, _ = distinct(h[may], kept)
                 yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64))], names=["h"])
 
+    ready(docs.sparkSession)
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "h bigint").groupBy("h").agg(F.count("*").alias("n"))
 
 

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..workers import ready
 from ._bytes import Block, blocks, repeated, shingles
 from ._store import written
 
@@ -85,6 +86,7 @@ def measure(block: Block) -> dict[str, np.ndarray]:
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: its id, every measurement and ``fail_bits``."""
+    ready(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = src.schema["doc_id"].dataType.simpleString()
 
