@@ -14,14 +14,20 @@ Steps
    from here on.
 2. Only groups that two classes share can be part of a shared table key, so
    table keys are formed from shared groups only.
-3. In each bucket (table key) the smallest id is the leader; every member is
-   compared with its leader, not with every other member.
-4. Members that miss their leader may still link among themselves or to members
-   that hit. Jaccard distance is a metric, so with exact distances d to the
-   leader a pair can only link if |d(x) - d(y)| <= 0.2: those pairs, and no
-   others, are compared too, unless they are already in one component.
-5. Links are confirmed by exact integers (100 * common >= 80 * union) on sorted
-   64-bit shingle hashes of the texts involved, which are computed once.
+3. In each bucket (table key) the smallest set is the leader; members are
+   compared with their leader, not with one another.
+4. Two members that differ in component must still be compared if they can
+   link. At least one of them, y, missed its leader l, and l is no larger than
+   either; so what x and y share cannot lie within l: a link (x, y) needs a
+   common shingle outside l. By the prefix principle it is enough to look at
+   the first p shingles of y without l in one order of all shingles,
+   p = |y| - need + 1, about a ninth of the set. The order is rarest first, as
+   a bounded sample of the texts has it; the sample only decides how much work
+   is left, any order gives the same links. Members of a leader that share such a shingle form new,
+   smaller buckets, which go through steps 3 and 4 again. Leaders only grow, so
+   this ends; no candidate is capped and no pair list is formed.
+5. Comparisons are exact integers (100 * common >= 80 * union) on 64-bit
+   shingle hashes of the texts involved, which are computed once.
 6. Components by minimum labels with pointer jumping, a written table each round.
 
 Recall of the candidate search at similarity s, with g hashes a group:
@@ -43,11 +49,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..workers import ready
-from ._bytes import MULT, Block, blocks, distinct, mix, shingles
+from ._bytes import MULT, Block, blocks, distinct, mix, owner, shingles
 from ._store import written
 
 U = np.uint64
 GROUPS, PER_GROUP = 10, 3
+#: Texts whose shingles are counted for the order, and shingles that the order ranks.
+ORDER_SAMPLE, ORDER_SHINGLES = 4_000, 200_000
 _SEEDS = mix(np.arange(1, 2 * GROUPS * PER_GROUP + 1, dtype=U) * U(0x9E3779B97F4A7C15))
 
 
@@ -96,41 +104,72 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
     return src.mapInArrow(run, "doc_id bigint, n bigint, a bigint, b bigint, keys array<bigint>")
 
 
-def full_sets(docs: DataFrame, k: int) -> DataFrame:
-    """id and its sorted shingle hashes."""
+def common_shingles(docs: DataFrame, k: int, ids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles met twice or more in ORDER_SAMPLE texts, ascending, and their counts (at most ORDER_SHINGLES)."""
+    some = F.broadcast(ids.orderBy(F.xxhash64("id"), "id").limit(ORDER_SAMPLE))  # ORDER_SAMPLE ids
+    own = full_sets(docs.join(some, docs.doc_id == some.id, "left_semi"), k)
+    top = own.select(F.explode("s").alias("s")).groupBy("s").agg(F.count("*").alias("c")).where("c > 1").orderBy(F.desc("c"), "s").limit(ORDER_SHINGLES).collect()
+    rows = sorted((r.s & (1 << 64) - 1, r.c) for r in top)
+    return np.array([r[0] for r in rows], U), np.array([r[1] for r in rows], np.int64)
+
+
+def full_sets(docs: DataFrame, k: int, order: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """id and its distinct shingle hashes, the rarest first by ``order``."""
+    send = docs.sparkSession.sparkContext.broadcast(order) if order is not None and len(order[0]) else None  # ORDER_SHINGLES pairs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, block in blocks(batch):
                 sets, first = shingle_sets(block, k)
+                if send is not None:
+                    known, counts = send.value
+                    at = np.minimum(np.searchsorted(known, sets), len(known) - 1)
+                    seen = np.where(known[at] == sets, counts[at], 0)
+                    sets = sets[np.lexsort((sets, seen, owner(first)))]
                 lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(sets.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), lists], names=["id", "s"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "id bigint, s array<bigint>")
 
 
-def buckets(reps: DataFrame) -> DataFrame:
-    """(bucket, id, n, leader, ln): members of table keys that two classes or more share."""
+def led(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(leader, id) of buckets with two members or more; the leader is the smallest set, then id."""
+    lead = rows.groupBy(*keys).agg(F.min(F.struct("n", "id")).alias("l"), F.count("*").alias("c")).where("c > 1").select(*keys, F.col("l.id").alias("leader"))
+    return rows.join(lead, keys).where(F.col("id") != F.col("leader")).select("leader", "id").distinct()
+
+
+def candidates(reps: DataFrame) -> DataFrame:
+    """(leader, id) of the table keys that two classes or more share."""
     own = reps.select("id", "n", F.posexplode("keys").alias("g", "key")).select("id", "n", "g", F.xxhash64("g", "key").alias("key"))
     shared = own.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     alive = written(own.join(shared, "key").groupBy("id", "n").agg(F.collect_list(F.struct("g", "key")).alias("gs")), "shared-groups")
     side = lambda lo: F.transform(F.filter("gs", (lambda x: x["g"] < GROUPS) if lo else (lambda x: x["g"] >= GROUPS)), lambda x: x["key"])
     table = F.flatten(F.transform(side(True), lambda x: F.transform(side(False), lambda y: F.xxhash64(x, y))))
-    rows = alive.select("id", "n", F.explode(table).alias("bucket"))
-    lead = rows.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("l"), F.count("*").alias("c")).where("c > 1").select("bucket", F.col("l.id").alias("leader"), F.col("l.n").alias("ln"))
-    return rows.join(lead, "bucket")
+    return led(alive.select("id", "n", F.explode(table).alias("bucket")), ["bucket"])
 
 
-def sizes_fit(a: str, b: str, percent: int):
-    """Sets of sizes a and b can reach the similarity at all."""
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+def compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """leader, id, n, whether they link, and the prefix of id's set without the leader's."""
+    left = sets.select(F.col("id").alias("leader"), F.col("s").alias("ls"))
+    both = pairs.join(left, "leader").join(sets, "id").withColumn("n", F.size("s").cast("long")).withColumn("ln", F.size("ls").cast("long"))
+    both = both.withColumn("rest", F.array_except("s", "ls"))
+    common = F.col("n") - F.size("rest")
+    hit = common * 100 >= (F.col("n") + F.col("ln") - common) * percent
+    # a partner has at least max(ln, percent of n) shingles, so it shares at least ``need``
+    partner = F.greatest(F.col("ln"), F.floor((F.col("n") * percent + 99) / 100))
+    need = F.floor(((F.col("n") + partner) * percent + 99 + percent) / (100 + percent))
+    prefix = F.slice("rest", F.lit(1), F.greatest(F.col("n") - need + 1, F.lit(0)).cast("int"))
+    return both.select("leader", "id", "n", hit.alias("hit"), prefix.alias("prefix"))
 
 
-def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """x, y with ``common`` and ``either``: sizes of intersection and union of the full sets."""
-    left, right = sets.select(F.col("id").alias("x"), F.col("s").alias("xs")), sets.select(F.col("id").alias("y"), F.col("s").alias("ys"))
-    both = pairs.join(left, "x").join(right, "y").select("x", "y", F.size(F.array_intersect("xs", "ys")).cast("long").alias("common"), F.size("xs").alias("nx"), F.size("ys").alias("ny"))
-    return both.select("x", "y", "common", (F.col("nx") + F.col("ny") - F.col("common")).alias("either"))
+def refine(star: DataFrame, labels: DataFrame) -> DataFrame:
+    """(leader, id) of the next buckets: members of one leader in different components that share a prefix shingle."""
+    of = star.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    of = of.join(labels.select(F.col("id").alias("leader"), F.col("label").alias("ll")), "leader", "left").withColumn("ll", F.coalesce("ll", "leader"))
+    open_ = of.where("label <> ll").select("leader").distinct()
+    rows = of.join(open_, "leader", "left_semi").select(F.col("leader").alias("under"), "id", "n", "label", F.explode("prefix").alias("s"))
+    mixed = rows.groupBy("under", "s").agg(F.min("label").alias("a"), F.max("label").alias("z")).where("a <> z").select("under", "s")
+    return led(rows.join(mixed, ["under", "s"]), ["under", "s"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -158,28 +197,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     sk = written(sketches(docs, k), "sketches")
     some = sk.where("n > 0 and doc_id is not null")
     rep = written(some.groupBy("a", "b", "n").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys")), "classes")
-    table = written(buckets(rep.select("id", "n", "keys")), "buckets")
-    pairs = written(table.where(F.col("id") != F.col("leader")).where(sizes_fit("n", "ln", percent)).select(F.col("leader").alias("x"), F.col("id").alias("y")).distinct(), "pairs")
-    involved = written(table.select("id").distinct(), "involved")
+    group = written(candidates(rep.select("id", "n", "keys")), "candidates")
+    involved = written(group.select(F.explode(F.array("leader", "id")).alias("id")).distinct(), "involved")
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
-    sets = written(full_sets(texts.join(involved, texts.doc_id == involved.id, "left_semi"), k).dropDuplicates(["id"]), "sets")
-    linked = F.col("common") * 100 >= F.col("either") * percent
-    star = written(confirm(pairs, sets).withColumn("hit", linked), "stars")
-    labels = components(star.where("hit").select("x", "y"))
-    # members that missed their leader, against all of the bucket that the triangle inequality leaves
-    slack = (100 - percent) / 100 + 1e-9
-    near = star.select(F.col("x").alias("leader"), F.col("y").alias("id"), (1 - F.col("common") / F.col("either")).alias("d"), "hit")
-    placed = table.where(F.col("id") != F.col("leader")).join(near, ["leader", "id"]).join(labels, "id", "left").select("bucket", "id", "n", "d", "hit", F.coalesce("label", "id").alias("label"))
-    miss = placed.where(~F.col("hit"))
-    open_ = miss.select("bucket").distinct()
-    rest = placed.join(open_, "bucket", "left_semi")
-    u = miss.select("bucket", F.col("id").alias("y"), F.col("n").alias("yn"), F.col("d").alias("yd"), F.col("label").alias("yl"))
-    v = rest.select("bucket", F.col("id").alias("x"), F.col("n").alias("xn"), F.col("d").alias("xd"), F.col("label").alias("xl"), F.col("hit").alias("xh"))
-    more = u.join(v, (u.bucket == v.bucket) & (F.col("xl") != F.col("yl")) & (F.abs(F.col("xd") - F.col("yd")) <= slack) & sizes_fit("xn", "yn", percent) & (F.col("xh") | (F.col("x") < F.col("y"))))
-    more = written(more.select("x", "y").distinct(), "more-pairs")
-    if more.limit(1).count():
-        found = confirm(more, sets).where(linked)
-        labels = components(star.where("hit").select("x", "y").union(found.select("x", "y")))
+    order = common_shingles(texts, k, involved)
+    own = full_sets(texts.join(involved, texts.doc_id == involved.id, "left_semi"), k, order)
+    sets = written(own.groupBy("id").agg(F.max("s").alias("s")), "sets")
+    edges = labels = None
+    while labels is None or group.limit(1).count():
+        star = written(compare(group, sets, percent), "stars")
+        hits = star.where("hit").select(F.col("leader").alias("x"), F.col("id").alias("y"))
+        edges = hits if edges is None else edges.union(hits)
+        labels = components(edges)
+        group = written(refine(star, labels), "candidates")
     of = rep.select("a", "b", "n", "id").join(labels, "id", "left").select("a", "b", "n", F.coalesce("label", "id").alias("component_id"))
     out = sk.select("doc_id", "n", "a", "b").join(of, ["a", "b", "n"], "left")
     comp = F.when(F.col("doc_id").isNull() | (F.col("n") == 0), F.col("doc_id")).otherwise(F.col("component_id"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, mixing, near_dedup, quality_model, quality_rules, secrets, token_counts, token_files, url_filter
+from . import decontaminate, line_dedup, mixing, near_dedup, quality_model, quality_rules, secret_scan, token_counts, token_files, url_filter
 
 _OPS = {
     "op1_url_filter": (url_filter.op1_url_filter, url_filter.ORACLE_SQL),
@@ -12,7 +12,7 @@ _OPS = {
     "op5_token_files": (token_files.op5_token_files, token_files.ORACLE_SQL),
     "op6_quality_rules": (quality_rules.op6_quality_rules, quality_rules.ORACLE_SQL),
     "op7_mixing": (mixing.op7_mixing, mixing.ORACLE_SQL),
-    "op8_secrets": (secrets.op8_secrets, secrets.ORACLE_SQL),
+    "op8_secrets": (secret_scan.op8_secrets, secret_scan.ORACLE_SQL),
     "op9_line_dedup": (line_dedup.op9_line_dedup, line_dedup.ORACLE_SQL),
     "op10_token_counts": (token_counts.op10_token_counts, token_counts.ORACLE_SQL),
 }
