@@ -12,7 +12,7 @@ outside base spans) is what the method adds, and only where its value belongs
 to at most ``max_owners`` owners.
 
 Spans: Spark has no function for the positions of all matches, so the text is
-cut into (gap, match) pairs by ``(?s)(.*?)(pattern)`` and lengths are summed.
+cut into (gap, match) pairs by ``(?s)\\G(.*?)(pattern)`` and lengths are summed.
 Only texts in which a plain search finds something take that path.
 
 Scale: a hash is first made distinct with its owner and repository, then
@@ -42,7 +42,7 @@ KINDS = ("assign", "access", "hex", "blob")
 
 def _cut(text: Column, pattern: str) -> Column:
     """Array of (start, end, match) of the leftmost non-overlapping matches."""
-    whole = f"(?s)(.*?)({pattern})"
+    whole = rf"(?s)\G(.*?)({pattern})"  # \G: what follows the last match is read once, not from every offset
     gaps, hits = F.regexp_extract_all(text, F.lit(whole), F.lit(1)), F.regexp_extract_all(text, F.lit(whole), F.lit(2))
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<s:bigint,e:bigint,m:string>>").alias("out"))
 
