@@ -47,7 +47,7 @@ from ._bytes import Block, blocks, shingles
 U = np.uint64
 K1, B = 1.2, 0.75
 SHINGLE = 5
-BLOCK_ITEMS = 8
+BLOCK_ITEMS = 2
 INDEX_BYTES = 16 << 20
 _PUNCT = np.zeros(256, bool)
 _PUNCT[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
