@@ -109,6 +109,14 @@ class Block:
         return c[self.offs[1:]] - c[self.offs[:-1]]
 
 
+def unique(a: np.ndarray) -> np.ndarray:
+    """Distinct values, ascending, by sorting."""
+    a = np.sort(a)
+    keep = np.ones(len(a), bool)
+    keep[1:] = a[1:] != a[:-1]
+    return a[keep]
+
+
 def owner(first: np.ndarray) -> np.ndarray:
     """The document of each word or line, from the documents' first indices."""
     return np.repeat(np.arange(len(first) - 1), np.diff(first))

@@ -15,8 +15,14 @@ import os
 
 import numpy as np
 
+from ._bytes import Block, mix
+
+U = np.uint64
 LIMIT = 250_000
+ENCODER_LIMIT = 1_500_000  # about 30 bytes each
 _LONG = 64  # longer pieces are not kept
+_MAY_LEAD = np.zeros(256, bool)  # bytes that may begin a white-space character of several bytes
+_MAY_LEAD[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
 def tokenizer_file(name: str) -> str:
@@ -47,50 +53,117 @@ class Encoder:
 
     The pattern lets a pre-token begin with one space but never hold or end
     with white space, and a newline between other characters is one of its
-    own. So cuts before a single space and around a single newline are exact.
-    A piece that is empty or has other white space at an end shows that some
-    space was not single; then the library gets the whole text.
+    own. So a cut before a single space or around a single newline is exact
+    where neither neighbour is white space. Where a neighbour may be (any
+    control, or a character that Unicode counts as space) no cut is made, and
+    the longer piece goes to the library as it is.
+
+    Pieces are found, hashed (64 bits) and looked up for a block of texts at
+    once; only distinct pieces that the cache lacks become strings.
     """
 
-    def __init__(self, name: str, limit: int = LIMIT):
+    def __init__(self, name: str, limit: int = ENCODER_LIMIT):
         self.t, self.limit = load(name), limit
         self.width = "<u2" if self.t.get_vocab_size() <= 1 << 16 else "<u4"
         nl = self._ids("\n")
         self.nl = nl[0] if len(nl) == 1 else None
-        self.cache: dict[str, bytes] = {"\n": nl.tobytes()}
+        self.keys, self.rows = np.empty(0, U), np.empty(0, np.int64)  # sorted hashes and their rows
+        self.new_keys, self.new_rows = np.empty(0, U), np.empty(0, np.int64)  # the same, not merged yet
+        self.ids = np.empty(1 << 20, self.width)
+        self.at, self.n = np.zeros(1 << 18, np.int64), 0  # row r holds ids[at[r]:at[r + 1]]
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.t.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.width)
 
-    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        if not pieces:
-            return {}
-        cut = []
-        if self.nl is not None:
-            ids = self._ids("\n".join(pieces))
-            cut = np.flatnonzero(ids == self.nl)
-        if len(cut) == len(pieces) - 1:
-            raw, w = ids.tobytes(), ids.itemsize
-            new = {p: raw[a * w : z * w] for p, a, z in zip(pieces, [0, *(cut + 1).tolist()], [*cut.tolist(), len(ids)], strict=True)}
-        else:
-            new = {p: self._ids(p).tobytes() for p in pieces}
-        if len(self.cache) < self.limit:
-            self.cache.update((p, b) for p, b in new.items() if len(p) <= _LONG)
-        return new
+    def _learn(self, pieces: list[str]) -> list[np.ndarray]:
+        """Ids of distinct pieces: in one go, a newline between them, where that is safe."""
+        plain = [i for i, p in enumerate(pieces) if "\n" not in p and not p[-1].isspace() and not p[1:2].isspace()]
+        out: list = [None] * len(pieces)
+        if self.nl is not None and plain:
+            ids = self._ids("\n".join(pieces[i] for i in plain))
+            parts = np.split(ids, np.flatnonzero(ids == self.nl))
+            if len(parts) == len(plain):
+                for k, (i, x) in enumerate(zip(plain, parts, strict=True)):
+                    out[i] = x[1:] if k else x
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, e in zip(rest, self.t.encode_batch_fast([pieces[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = np.array(e.ids, self.width)
+        return out
+
+    def _add(self, found: list[np.ndarray]) -> np.ndarray:
+        """Append rows; returns their numbers."""
+        size = np.array([len(x) for x in found], np.int64)
+        end = self.at[self.n] + int(size.sum())
+        if end > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty(max(end, len(self.ids)), self.width)])
+        if self.n + len(found) + 1 > len(self.at):
+            self.at = np.concatenate([self.at, np.zeros(max(len(found), len(self.at)), np.int64)])
+        self.ids[self.at[self.n] : end] = np.concatenate(found)
+        self.at[self.n + 1 : self.n + 1 + len(found)] = self.at[self.n] + np.cumsum(size)
+        self.n += len(found)
+        return np.arange(self.n - len(found), self.n)
+
+    @staticmethod
+    def _find(keys: np.ndarray, rows: np.ndarray, want: np.ndarray) -> np.ndarray:
+        if not len(keys):
+            return np.full(len(want), -1)
+        at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+        return np.where(keys[at] == want, rows[at], -1)
+
+    def cuts(self, block: Block) -> np.ndarray:
+        """Starts of all pieces; the first of each non-empty text is its own start."""
+        b = block.buf
+        if not len(b):
+            return np.empty(0, np.int64)
+        hard = b > 0x20  # no control or space
+        before, after = np.zeros(len(b), bool), np.zeros(len(b), bool)
+        before[1:], after[:-1] = hard[:-1], hard[1:]
+        after[:-1] &= ~_MAY_LEAD[b[1:]]
+        spots = np.flatnonzero(((b == 32) | (b == 10)) & before & after)
+        begins = np.zeros(len(b) + 1, bool)
+        begins[block.offs] = True
+        spots = spots[~begins[spots] & ~begins[spots + 1]]  # a text's first byte has nothing before it, its last nothing after
+        p1, p2, p3 = b[spots - 1], b[np.maximum(spots - 2, 0)], b[np.maximum(spots - 3, 0)]
+        spots = spots[~((p1 >= 0x80) & ((p2 == 0xC2) | ((p3 >= 0xE1) & (p3 <= 0xE3))))]
+        return np.sort(np.concatenate([block.offs[:-1][block.lens > 0], spots, spots[b[spots] == 10] + 1]))
+
+    def encode_block(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and each text's first (n + 1)."""
+        starts = self.cuts(block)
+        if not len(starts):
+            return np.empty(0, self.width), np.zeros(block.n + 1, np.int64)
+        ends = np.append(starts[1:], len(block.buf))
+        h = mix(block.hashes(starts, ends, lower=False) + (ends - starts).astype(U))
+        uniq, pick, inv = np.unique(h, return_index=True, return_inverse=True)
+        row = self._find(self.keys, self.rows, uniq)
+        row = np.where(row < 0, self._find(self.new_keys, self.new_rows, uniq), row)
+        miss = np.flatnonzero(row < 0)
+        kept = self.n
+        if len(miss):
+            raw = block.buf.tobytes()
+            row[miss] = self._add(self._learn([raw[starts[i] : ends[i]].decode() for i in pick[miss].tolist()]))
+        size = (self.at[row + 1] - self.at[row])[inv]
+        to = np.concatenate([[0], np.cumsum(size)])
+        out = self.ids[np.repeat(self.at[row][inv] - to[:-1], size) + np.arange(to[-1])]
+        if len(miss):
+            if kept < self.limit:
+                keys, rows = np.concatenate([self.new_keys, uniq[miss]]), np.concatenate([self.new_rows, row[miss]])
+                order = np.argsort(keys)
+                self.new_keys, self.new_rows = keys[order], rows[order]
+                if len(keys) > 1 << 16:
+                    keys, rows = np.concatenate([self.keys, self.new_keys]), np.concatenate([self.rows, self.new_rows])
+                    order = np.argsort(keys, kind="stable")
+                    self.keys, self.rows = keys[order], rows[order]
+                    self.new_keys, self.new_rows = np.empty(0, U), np.empty(0, np.int64)
+            else:
+                self.n = kept  # full: what was new serves this block only
+        return out, to[np.searchsorted(starts, block.offs)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text."""
-        get = self.cache.get
-        split = [t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") for t in texts]
-        found = [list(map(get, s)) for s in split]
-        miss = {p for s, f in zip(split, found, strict=True) if None in f for p, b in zip(s, f, strict=True) if b is None}
-        new = self._learn([p for p in miss if (q := p[1:] if p[:1] == " " else p) and not q[0].isspace() and not q[-1].isspace()])
-        out = []
-        for t, s, f in zip(texts, split, found, strict=True):
-            if None in f:
-                f = [new.get(p) if b is None else b for p, b in zip(s, f, strict=True)]
-            out.append(self._ids(t).tobytes() if None in f or "\0" in t else b"".join(f))
-        return out
+        raw = [t.encode() for t in texts]
+        ids, first = self.encode_block(Block(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)))
+        return [ids[a:z].tobytes() for a, z in zip(first[:-1], first[1:], strict=True)]
 
 
 class _Both(dict):

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..workers import ready
-from ._bytes import Block, blocks, shingles
+from ._bytes import Block, blocks, shingles, unique
 
 U = np.uint64
 K1, B = 1.2, 0.75
@@ -182,7 +182,7 @@ def retrieve(index: Index, block: Block, threshold: float, stride: int) -> list[
     seg = seg_first[doc] + (known - first[doc]) // stride
     t, v, nb = term[known], len(index.vocab), index.n_blocks
     back = seg > seg_first[doc]  # a word is also in the window that began one stride earlier
-    pair = np.unique(np.concatenate([seg * v + t, (seg[back] - 1) * v + t[back]]))
+    pair = unique(np.concatenate([seg * v + t, (seg[back] - 1) * v + t[back]]))
     p, t = pair // v, pair % v
     size = index.bat[t + 1] - index.bat[t]
     at = np.repeat(index.bat[t] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))

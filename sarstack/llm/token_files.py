@@ -36,13 +36,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..workers import ready
+from ._bytes import blocks
 from ._pieces import encoder
 from ._store import fresh_dir, written
 
@@ -190,16 +190,6 @@ class Reader:
             yield from self.block(i)
 
 
-def _texts(col: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Runs of rows of about ``limit`` bytes."""
-    size = np.cumsum(pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64)) if len(col) else np.empty(0)
-    i = 0
-    while i < len(col):
-        j = max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + limit, side="right")))
-        yield i, j
-        i = j
-
-
 def write_tokens(docs: DataFrame, tokenizer: str, uri: str, end_id: int = 0, partitions: int | None = None, shard_bytes: int = 256 << 20, block_bytes: int = 1 << 16) -> DataFrame:
     """Write all of ``docs`` under ``uri``; returns the manifest, one row a shard."""
     spark = docs.sparkSession
@@ -226,16 +216,16 @@ def write_tokens(docs: DataFrame, tokenizer: str, uri: str, end_id: int = 0, par
 
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            col = batch.column("text")
-            for i, j in _texts(col):
-                for k, payload in zip(ids[i:j], enc.encode(col.slice(i, j - i).to_pylist()), strict=True):
+            for i, j, block in blocks(batch, limit=2 << 20):
+                got, first = enc.encode_block(block)
+                for k, a, z in zip(ids[i:j], first[:-1], first[1:], strict=True):
                     if w is None:
                         if fs is None:
                             fs, root = pafs.FileSystem.from_uri(uri)
                             fs.create_dir(root, recursive=True)
                         tmp = f"{root}/_{part:06d}-{len(made):04d}-{attempt}"
                         w = Writer(fs.open_output_stream(tmp), width, block_bytes)
-                    w.add(key_of(k), payload + end)
+                    w.add(key_of(k), got[a:z].tobytes() + end)
                     if w.at >= shard_bytes:
                         close()
                         w = None
