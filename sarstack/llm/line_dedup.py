@@ -147,7 +147,7 @@ def shard_of(keys: np.ndarray, n_shards: int) -> np.ndarray:
 class Shards:
     """Shards read on demand from the shared folder, at most ``cache_bytes`` held."""
 
-    def __init__(self, uri: str, n_shards: int, present: frozenset[int] | None, cache_bytes: int):
+    def __init__(self, uri: str, n_shards: int, present: frozenset[int], cache_bytes: int):
         self.uri, self.n, self.present, self.most = uri, n_shards, present, cache_bytes
         self.held: OrderedDict[int, Shard] = OrderedDict()
         self.fs, self.path = pafs.FileSystem.from_uri(uri)
@@ -169,14 +169,14 @@ class Shards:
         order = np.argsort(of, kind="stable")
         cut = np.searchsorted(of[order], np.arange(self.n + 1))
         for k in range(self.n):
-            if cut[k] < cut[k + 1] and (self.present is None or k in self.present):
+            if cut[k] < cut[k + 1] and k in self.present:
                 at = order[cut[k] : cut[k + 1]]
                 out[at] = self.shard(k).get(keys[at])
         return out
 
 
-def build_table(counts: DataFrame, uri: str, shard_keys: int = 1 << 18) -> tuple[int, int]:
-    """Write the shards of (h, n) under ``uri``; returns shards and keys.
+def build_table(counts: DataFrame, uri: str, shard_keys: int = 1 << 18) -> tuple[int, frozenset[int]]:
+    """Write the shards of (h, n) under ``uri``; returns their number and which have keys.
 
     One task builds a shard; it writes under its own name and then renames, so
     a task that runs twice leaves the same file.
@@ -199,16 +199,14 @@ def build_table(counts: DataFrame, uri: str, shard_keys: int = 1 << 18) -> tuple
         return pa.table({"shard": pa.array([k], pa.int64()), "keys": pa.array([len(keys)], pa.int64())})
 
     made = counts.select(shard, "h", "n").groupBy("shard").applyInArrow(pack, "shard bigint, keys bigint")
-    made.agg(F.sum("keys")).first()
-    return n_shards, n
+    return n_shards, frozenset(r.shard for r in made.select("shard").collect())  # one number a shard
 
 
 def drop_lines(docs: DataFrame, min_docs: int = 10, min_key: int = 1, store_min_docs: int = 2, shard_keys: int = 1 << 18, cache_bytes: int = 64 << 20) -> DataFrame:
     """``docs`` with ``text`` less its widely shared lines, ``n_lines`` and ``n_dropped``."""
     spark = docs.sparkSession
     uri = fresh_dir(spark, "line-table")
-    n_shards, n = build_table(count_lines(docs, min_key).where(F.col("n") >= min(store_min_docs, min_docs)), uri, shard_keys)
-    present = None if n else frozenset()
+    n_shards, present = build_table(count_lines(docs, min_key).where(F.col("n") >= min(store_min_docs, min_docs)), uri, shard_keys)
     rest = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
     src = docs.select(*[F.col(f"`{c}`") for c in rest], F.col("text").cast("string").alias("text"))
     schema = StructType([*src.schema.fields, StructField("n_lines", LongType()), StructField("n_dropped", LongType())])
