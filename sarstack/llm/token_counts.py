@@ -53,12 +53,13 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str) -> DataFrame:
     missing = wanted.join(known, "digest", "left_anti")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = counter(tokenizer)
+        enc, done = counter(tokenizer), set()  # rows of one id and content meet in one task
         for batch in batches:
             digests, texts = batch.column("digest"), batch.column("text")
             for i in range(0, batch.num_rows, 256):
-                part = texts.slice(i, 256).to_pylist()
-                yield pa.RecordBatch.from_arrays([digests.slice(i, 256), pa.array(enc.count(part), pa.int64())], names=["digest", "n_tokens"])
+                part = {d: t for d, t in zip(digests.slice(i, 256).to_pylist(), texts.slice(i, 256).to_pylist(), strict=True) if d not in done}
+                done.update(part)
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array(enc.count(list(part.values())), pa.int64())], names=["digest", "n_tokens"])
 
     one = src.join(missing.hint("merge"), (src.digest == missing.digest) & src.doc_id.eqNullSafe(missing.doc_id), "left_semi")
     new = one.select("digest", "text").mapInArrow(run, "digest binary, n_tokens bigint")
