@@ -14,10 +14,13 @@ Steps
    from here on.
 2. Only groups that two classes share can be part of a shared table key, so
    table keys are formed from shared groups only.
-3. In each bucket (table key) the smallest set is the leader; members are
-   compared with their leader, not with one another.
-4. Two members that differ in component must still be compared if they can
-   link. At least one of them, y, missed its leader l, and l is no larger than
+3. In a bucket (table key) the members outside the component that most of it
+   is in are its odd ones. Where they are at most ODD, each is compared with
+   all other members: a bounded number of pairs for each member. Otherwise the
+   smallest set is the leader, and members are compared with their leader, not
+   with one another.
+4. Two members of a large bucket that differ in component must still be
+   compared if they can link. At least one of them, y, missed its leader l, and l is no larger than
    either; so what x and y share cannot lie within l: a link (x, y) needs a
    common shingle outside l. By the prefix principle it is enough to look at
    the first p shingles of y without l in one order of all shingles,
@@ -54,8 +57,10 @@ from ._store import written
 
 U = np.uint64
 GROUPS, PER_GROUP = 10, 3
+#: Odd members of a bucket up to which they are compared with all of it.
+ODD = 64
 #: Texts whose shingles are counted for the order, and shingles that the order ranks.
-ORDER_SAMPLE, ORDER_SHINGLES = 4_000, 200_000
+ORDER_SAMPLE, ORDER_SHINGLES = 16_000, 400_000
 _SEEDS = mix(np.arange(1, 2 * GROUPS * PER_GROUP + 1, dtype=U) * U(0x9E3779B97F4A7C15))
 
 
@@ -108,9 +113,10 @@ def common_shingles(docs: DataFrame, k: int, ids: DataFrame) -> tuple[np.ndarray
     """Shingles met twice or more in ORDER_SAMPLE texts, ascending, and their counts (at most ORDER_SHINGLES)."""
     some = F.broadcast(ids.orderBy(F.xxhash64("id"), "id").limit(ORDER_SAMPLE))  # ORDER_SAMPLE ids
     own = full_sets(docs.join(some, docs.doc_id == some.id, "left_semi"), k)
-    top = own.select(F.explode("s").alias("s")).groupBy("s").agg(F.count("*").alias("c")).where("c > 1").orderBy(F.desc("c"), "s").limit(ORDER_SHINGLES).collect()
-    rows = sorted((r.s & (1 << 64) - 1, r.c) for r in top)
-    return np.array([r[0] for r in rows], U), np.array([r[1] for r in rows], np.int64)
+    top = own.select(F.explode("s").alias("s")).groupBy("s").agg(F.count("*").alias("c")).where("c > 1").orderBy(F.desc("c"), "s").limit(ORDER_SHINGLES).toArrow()
+    known = top.column("s").to_numpy().astype(np.int64).view(U)
+    at = np.argsort(known)
+    return known[at], top.column("c").to_numpy().astype(np.int64)[at]
 
 
 def full_sets(docs: DataFrame, k: int, order: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
@@ -132,24 +138,40 @@ def full_sets(docs: DataFrame, k: int, order: tuple[np.ndarray, np.ndarray] | No
     return docs.select("doc_id", "text").mapInArrow(run, "id bigint, s array<bigint>")
 
 
-def led(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """(leader, id) of buckets with two members or more; the leader is the smallest set, then id."""
-    lead = rows.groupBy(*keys).agg(F.min(F.struct("n", "id")).alias("l"), F.count("*").alias("c")).where("c > 1").select(*keys, F.col("l.id").alias("leader"))
-    return rows.join(lead, keys).where(F.col("id") != F.col("leader")).select("leader", "id").distinct()
+def led(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
+    """(leader, id, big) to compare, from rows of (keys, n, id, label, before).
 
-
-def candidates(reps: DataFrame) -> DataFrame:
-    """(leader, id) of the table keys that two classes or more share."""
+    Buckets with few odd members give the pairs of those with all others, the
+    smaller set first, that can reach the similarity and differ in label; the
+    rest give each member with the leader. ``before`` holds the keys under which
+    a member was met already: a pair that shares one of them is left to it.
+    """
+    by_label = rows.groupBy(*keys, "label").agg(F.count("*").alias("c"), F.min(F.struct("n", "id")).alias("l"))
+    per = by_label.groupBy(*keys).agg(F.min("l").alias("l"), F.sum("c").alias("c"), F.max(F.struct("c", "label")).alias("main")).where("c > main.c")
+    all_ = rows.join(per.select(*keys, F.col("l.id").alias("leader"), F.col("main.label").alias("main"), (F.col("c") - F.col("main.c")).alias("n_odd")), keys)
+    big = all_.where((F.col("n_odd") > ODD) & (F.col("id") != F.col("leader"))).select("leader", "id", F.lit(True).alias("big"))
+    few = all_.where(F.col("n_odd") <= ODD)
+    odd = few.where(F.col("label") != F.col("main")).groupBy(*keys).agg(F.collect_list(F.struct("n", "id", "label", "before")).alias("odd"))
+    fits = lambda y: (y["label"] != F.col("label")) & (F.least(y["n"], F.col("n")) * 100 >= F.greatest(y["n"], F.col("n")) * percent) & ~F.arrays_overlap(y["before"], F.col("before"))
+    mine = F.transform(F.filter("odd", fits), lambda y: F.struct(y["n"].alias("n"), y["id"].alias("id")))
+    pair = few.join(odd, keys).select(F.struct("n", "id").alias("x"), F.explode(mine).alias("y"))
+    pair = pair.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    both = big.unionByName(pair.select(F.col("x.id").alias("leader"), F.col("y.id").alias("id"), F.lit(False).alias("big")))
+    return both.groupBy("leader", "id").agg(F.max("big").alias("big"))
+
+
+def candidates(reps: DataFrame, percent: int) -> DataFrame:
+    """(leader, id, big) of the table keys that two classes or more share."""
     own = reps.select("id", "n", F.posexplode("keys").alias("g", "key")).select("id", "n", "g", F.xxhash64("g", "key").alias("key"))
     shared = own.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     alive = written(own.join(shared, "key").groupBy("id", "n").agg(F.collect_list(F.struct("g", "key")).alias("gs")), "shared-groups")
     side = lambda lo: F.transform(F.filter("gs", (lambda x: x["g"] < GROUPS) if lo else (lambda x: x["g"] >= GROUPS)), lambda x: x["key"])
     table = F.flatten(F.transform(side(True), lambda x: F.transform(side(False), lambda y: F.xxhash64(x, y))))
-    return led(alive.select("id", "n", F.explode(table).alias("bucket")), ["bucket"])
+    return led(alive.select("id", "n", F.col("id").alias("label"), F.array().cast("array<bigint>").alias("before"), F.explode(table).alias("bucket")), ["bucket"], percent)
 
 
 def compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """leader, id, n, whether they link, and the prefix of id's set without the leader's."""
+    """leader, id, big, n, whether they link, and for big buckets the prefix of id's set without the leader's."""
     left = sets.select(F.col("id").alias("leader"), F.col("s").alias("ls"))
     both = pairs.join(left, "leader").join(sets, "id").withColumn("n", F.size("s").cast("long")).withColumn("ln", F.size("ls").cast("long"))
     both = both.withColumn("rest", F.array_except("s", "ls"))
@@ -159,37 +181,55 @@ def compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     partner = F.greatest(F.col("ln"), F.floor((F.col("n") * percent + 99) / 100))
     need = F.floor(((F.col("n") + partner) * percent + 99 + percent) / (100 + percent))
     prefix = F.slice("rest", F.lit(1), F.greatest(F.col("n") - need + 1, F.lit(0)).cast("int"))
-    return both.select("leader", "id", "n", hit.alias("hit"), prefix.alias("prefix"))
+    return both.select("leader", "id", "big", "n", hit.alias("hit"), F.when(F.col("big"), prefix).alias("prefix"))
 
 
-def refine(star: DataFrame, labels: DataFrame) -> DataFrame:
-    """(leader, id) of the next buckets: members of one leader in different components that share a prefix shingle."""
+def refine(star: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """(leader, id, big) of the next buckets: members of one leader in different components that share a prefix shingle."""
     of = star.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     of = of.join(labels.select(F.col("id").alias("leader"), F.col("label").alias("ll")), "leader", "left").withColumn("ll", F.coalesce("ll", "leader"))
     open_ = of.where("label <> ll").select("leader").distinct()
-    rows = of.join(open_, "leader", "left_semi").select(F.col("leader").alias("under"), "id", "n", "label", F.explode("prefix").alias("s"))
-    mixed = rows.groupBy("under", "s").agg(F.min("label").alias("a"), F.max("label").alias("z")).where("a <> z").select("under", "s")
-    return led(rows.join(mixed, ["under", "s"]), ["under", "s"])
+    rows = of.join(open_, "leader", "left_semi").select(F.col("leader").alias("under"), "id", "n", "label", (F.col("label") != F.col("ll")).alias("odd"), "prefix", F.posexplode("prefix").alias("at", "s"))
+    rows = rows.select("under", "id", "n", "label", "odd", "s", F.slice("prefix", F.lit(1), F.col("at")).alias("before"))
+    # only shingles of members outside the leader's component can matter
+    some = rows.groupBy("under", "s").agg(F.min("label").alias("a"), F.max("label").alias("z"), F.max("odd").alias("odd")).where("odd and a <> z").select("under", "s")
+    return led(rows.drop("odd").join(some, ["under", "s"], "left_semi"), ["under", "s"], percent)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """id and label (smallest id reachable) of every id in ``edges`` (x, y).
 
-    Each round takes the smallest label of the neighbours, then the label of
-    that label; it ends when nothing changes. Labels only fall, so rounds are
-    bounded by the logarithm of the longest chain in practice.
+    By contraction: each vertex hooks to its smallest neighbour, chains of
+    hooks are shortened, edges are renamed by it and those within one vertex
+    go. Every round leaves fewer vertices and edges; the hooks composed are the
+    labels. Vertices hook to smaller ones only, so the root of a component is
+    its smallest id.
     """
-    both = written(edges.select("x", "y").union(edges.select("y", "x")).distinct(), "edges")
-    labels = written(both.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("label")).withColumnRenamed("x", "id"), "labels")
-    while True:
-        near = both.join(labels.select(F.col("id").alias("y"), F.col("label").alias("l")), "y").groupBy("x").agg(F.min("l").alias("near"))
-        step = labels.join(near, labels.id == near.x).select("id", "label", F.least("label", "near").alias("low"))
-        up = labels.select(F.col("id").alias("low"), F.col("label").alias("up"))
-        nxt = written(step.join(up, "low").select("id", F.least("low", "up").alias("label"), F.col("label").alias("was")), "labels")
-        changed = nxt.where("label <> was").limit(1).count()
-        labels = nxt.select("id", "label")
-        if not changed:
-            return labels
+    left = written(edges.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).where("x <> y").distinct(), "edges")
+    labels = None
+    while labels is None or left.limit(1).count():
+        ends = left.select(F.explode(F.array(F.struct(F.col("y").alias("v"), F.col("x").alias("to")), F.struct(F.col("x").alias("v"), F.col("x").alias("to")))).alias("e"))
+        hook = written(ends.groupBy("e.v").agg(F.min("e.to").alias("to")), "hooks")
+        for _ in range(2):  # a chain of four hooks becomes one
+            nxt = hook.select(F.col("v").alias("to"), F.col("to").alias("far"))
+            hook = written(hook.join(nxt, "to").select("v", F.col("far").alias("to")), "hooks")
+        to = lambda k: hook.select(F.col("v").alias(k), F.col("to").alias(f"{k}2"))  # noqa: B023, E731
+        moved = left.join(to("x"), "x").join(to("y"), "y").select(F.least("x2", "y2").alias("x"), F.greatest("x2", "y2").alias("y"))
+        left = written(moved.where("x <> y").distinct(), "edges")
+        labels = hook.select(F.col("v").alias("id"), F.col("to").alias("label")) if labels is None else written(labels.join(hook, labels.label == hook.v, "left").select("id", F.coalesce("to", "label").alias("label")), "labels")
+    return labels
+
+
+def relabel(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """Labels after further ``edges`` (x, y): only those between different labels count."""
+    if labels is None:
+        return components(edges)
+    of = lambda k: labels.select(F.col("id").alias(k), F.col("label").alias(f"{k}2"))
+    e = edges.join(of("x"), "x", "left").join(of("y"), "y", "left").select(F.coalesce("x2", "x").alias("x"), F.coalesce("y2", "y").alias("y")).where("x <> y")
+    new = components(e).withColumnsRenamed({"id": "was", "label": "now"})
+    old = labels.join(new, labels.label == new.was, "left").select("id", F.coalesce("now", "label").alias("label"))
+    fresh = new.join(labels, new.was == labels.id, "left_anti").select(F.col("was").alias("id"), F.col("now").alias("label"))
+    return written(old.unionByName(fresh), "labels")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -197,19 +237,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     sk = written(sketches(docs, k), "sketches")
     some = sk.where("n > 0 and doc_id is not null")
     rep = written(some.groupBy("a", "b", "n").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys")), "classes")
-    group = written(candidates(rep.select("id", "n", "keys")), "candidates")
+    group = written(candidates(rep.select("id", "n", "keys"), percent), "candidates")
     involved = written(group.select(F.explode(F.array("leader", "id")).alias("id")).distinct(), "involved")
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
     order = common_shingles(texts, k, involved)
     own = full_sets(texts.join(involved, texts.doc_id == involved.id, "left_semi"), k, order)
     sets = written(own.groupBy("id").agg(F.max("s").alias("s")), "sets")
-    edges = labels = None
+    labels = None
     while labels is None or group.limit(1).count():
         star = written(compare(group, sets, percent), "stars")
         hits = star.where("hit").select(F.col("leader").alias("x"), F.col("id").alias("y"))
-        edges = hits if edges is None else edges.union(hits)
-        labels = components(edges)
-        group = written(refine(star, labels), "candidates")
+        labels = relabel(labels, hits)
+        group = written(refine(star.where("big"), labels, percent), "candidates")
     of = rep.select("a", "b", "n", "id").join(labels, "id", "left").select("a", "b", "n", F.coalesce("label", "id").alias("component_id"))
     out = sk.select("doc_id", "n", "a", "b").join(of, ["a", "b", "n"], "left")
     comp = F.when(F.col("doc_id").isNull() | (F.col("n") == 0), F.col("doc_id")).otherwise(F.col("component_id"))

@@ -718,3 +718,82 @@ def web_tiles(s, d):
 
     x, y = catalog.slippy_tile((C("s_suppkey") * 11 % 360 - 180).cast("double"), (C("s_suppkey") * 7 % 160 - 80).cast("double"), 10)
     return fx.table(s, d, "supplier").select("s_suppkey", x.alias("x"), y.alias("y"))
+
+
+# --- preparation ------------------------------------------------------------
+
+@query("""!WITH s AS (SELECT s_nationkey AS orbit, (row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1) * 30.0::DOUBLE AS t, 1000.0 * sin(s_suppkey) AS p, 10.0 * cos(s_suppkey) AS v FROM supplier),
+n AS (SELECT *, lead(t) OVER w AS t1, lead(p) OVER w AS p1, lead(v) OVER w AS v1 FROM s WINDOW w AS (PARTITION BY orbit ORDER BY t)),
+q AS (SELECT c_custkey AS id, c_nationkey AS orbit, (c_custkey % 97)::DOUBLE AS t FROM customer)
+SELECT id, q.t, round((1 + 2 * u) * (1 - u) * (1 - u) * p + u * (1 - u) * (1 - u) * 30.0 * v + u * u * (3 - 2 * u) * p1 + u * u * (u - 1) * 30.0 * v1, 5) + 0.0 AS x FROM (SELECT id, q.t, (q.t - n.t) / 30.0 AS u, p, v, p1, v1 FROM q JOIN n ON q.orbit = n.orbit AND q.t >= n.t AND q.t < n.t1) q""")
+def orbit_interpolation(s, d):
+    from ..operators import preprocess as pre
+
+    w = Window.partitionBy("s_nationkey").orderBy("s_suppkey")
+    st = fx.table(s, d, "supplier").select(C("s_nationkey").alias("orbit"), ((F.row_number().over(w) - 1) * 30.0).alias("t"), *((1000.0 * F.sin("s_suppkey")).alias(f"p{a}") for a in "xyz"), *((10.0 * F.cos("s_suppkey")).alias(f"v{a}") for a in "xyz"))
+    q = fx.table(s, d, "customer").select(C("c_custkey").alias("id"), C("c_nationkey").alias("orbit"), (C("c_custkey") % 97).cast("double").alias("t"))
+    return pre.orbit_at(q, st).select("id", "t", rounded(C("x"), 5).alias("x"))
+
+
+@query("""!SELECT s_suppkey, round(b1 * lx + b3 * lz, 6) + 0.0 AS b_par, round(CASE WHEN (ux - d * lx) * b1 + (uz - d * lz) * b3 < 0 THEN -1 ELSE 1 END * sqrt(greatest(b1 * b1 + b2 * b2 + b3 * b3 - pow(b1 * lx + b3 * lz, 2), 0)), 5) + 0.0 AS b_perp
+FROM (SELECT *, ux * lx + uz * lz AS d FROM (SELECT s_suppkey, (6371000.0 - 7071000.0) / r AS lx, 300000.0 / r AS lz, 1.0 AS ux, 0.0 AS uz, s_suppkey % 50 * 1.0 AS b1, 20.0 AS b2, (s_suppkey * 7 % 80 - 40.0)::DOUBLE AS b3 FROM (SELECT s_suppkey, sqrt(pow(700000.0, 2) + pow(300000.0, 2)) AS r FROM supplier)))""")
+def satellite_baseline(s, d):
+    from ..operators import preprocess as pre
+
+    k = F.lit
+    p = fx.table(s, d, "supplier").select("s_suppkey", k(7071000.0).alias("x1"), k(0.0).alias("y1"), k(0.0).alias("z1"), (7071000.0 + C("s_suppkey") % 50).alias("x2"), k(20.0).alias("y2"), (C("s_suppkey") * 7 % 80 - 40.0).alias("z2"), k(6371000.0).alias("gx"), k(0.0).alias("gy"), k(300000.0).alias("gz"))
+    return pre.baselines(p).select("s_suppkey", rounded(C("b_par")).alias("b_par"), rounded(C("b_perp"), 5).alias("b_perp"))
+
+
+CUB = "CASE WHEN a <= 1 THEN (1.25 * a - 2.25) * a * a + 1 WHEN a < 2 THEN ((-0.75 * a + 3.75) * a - 6) * a + 3 ELSE 0 END"
+
+
+@query(f""", t AS (SELECT yi, xi, yi + 0.25 AS py, xi + 0.5 AS px FROM geom), k AS (SELECT t.*, floor(py)::INT + i AS ty, floor(px)::INT + j AS tx FROM t, range(-1, 3) a(i), range(-1, 3) b(j)),
+  w AS (SELECT k.*, (SELECT {CUB} FROM (SELECT abs(py - ty) AS a)) * (SELECT {CUB} FROM (SELECT abs(px - tx) AS a)) AS w FROM k)
+  SELECT w.yi, w.xi, CASE WHEN count(g.ele) = count(*) THEN round(sum(w * g.ele) / nullif(sum(w), 0), 6) + 0.0 END AS value FROM w LEFT JOIN geom g ON g.yi = ty AND g.xi = tx WHERE abs(w) > 1e-12 GROUP BY w.yi, w.xi""")
+def resample_cubic(s, d):
+    from ..operators import preprocess as pre
+
+    g = fx.geometry(fx.slc(s, d))
+    t = g.select("yi", "xi", (C("yi") + 0.25).alias("py"), (C("xi") + 0.5).alias("px"))
+    return pre.resample(g.select("yi", "xi", C("ele").alias("value")), t, "cubic").select("yi", "xi", rounded(C("value")).alias("value"))
+
+
+@query()
+def resample_lanczos(s, d):
+    from ..operators import preprocess as pre
+
+    g = fx.geometry(fx.slc(s, d))
+    t = g.select("yi", "xi", (C("yi") + 0.0).alias("py"), (C("xi") + 0.0).alias("px"))
+    return pre.resample(g.select("yi", "xi", C("ele").alias("value")), t, "lanczos").select("yi", "xi", rounded(C("value")).alias("value"))
+
+
+@query("""!SELECT s_suppkey, round(-pi() * kt * d * d - 2 * pi() * 30.0 * d, 5) + 0.0 AS phase FROM (SELECT s_suppkey, k, 2 * 7100.0 * 0.027 / 0.0555 * k / (k - 2 * 7100.0 * 0.027 / 0.0555) AS kt, (s_suppkey % 100 - 50) / 100.0 + 30.0 / k AS d FROM (SELECT s_suppkey, -2300.0 * (1 + (s_suppkey % 20) / 1000.0) AS k FROM supplier))""")
+def burst_reramp(s, d):
+    from ..operators import preprocess as pre
+
+    k = F.lit
+    v = pre.reramp_phase((C("s_suppkey") % 100 - 50) / 100.0, 1 + (C("s_suppkey") % 20) / 1000.0, k(0.027), k(7100.0), k(0.0555), k(-2300.0), k(30.0))
+    return fx.table(s, d, "supplier").select("s_suppkey", rounded(v, 5).alias("phase"))
+
+
+@query()
+def solid_earth_tide(s, d):
+    from ..operators import preprocess as pre
+
+    p = fx.table(s, d, "supplier").select(C("s_suppkey").alias("id"), (C("s_suppkey") * 7 % 160 - 80).alias("lat"), (C("s_suppkey") * 11 % 360 - 180).alias("lon"), (60310 + C("s_suppkey") % 30 + 0.3).alias("mjd"))
+    return pre.solid_tide(p).select("id", *(rounded(C(c), 5).alias(c) for c in ("east", "north", "up")))
+
+
+@query("SELECT duration, count(*) AS n, round(quantile_cont(baseline, 0.5), 2) AS median_baseline FROM pairs GROUP BY duration")
+def duration_histogram(s, d):
+    p = network.baseline(fx.acquisitions(s, d), 3, cleanup=False)
+    return p.groupBy("duration").agg(F.count("*").alias("n"), F.round(F.percentile("baseline", F.lit(0.5)), 2).alias("median_baseline"))
+
+
+@query("SELECT yi, xi, cast(coalesce(round_even(ele * 2.5, 0), 32767) AS INT) AS packed, round(coalesce(round_even(ele * 2.5, 0), 32767) / 2.5, 6) + 0.0 AS back FROM geom")
+def scaled_grids(s, d):
+    from ..operators import preprocess as pre
+
+    g = fx.geometry(fx.slc(s, d)).withColumn("packed", pre.pack_scaled(C("ele"), 2.5, "int", 32767))
+    return g.select("yi", "xi", "packed", rounded(pre.unpack_scaled(C("packed"), 2.5, 32767)).alias("back"))
