@@ -501,10 +501,37 @@ def trend2d(s, d):
     return t.groupBy("pair").agg(F.count("*").alias("n"), rounded(F.sum("trend"), 2).alias("trend_sum"), F.round(F.sqrt(F.avg((C("value") - C("trend")) ** 2)), 4).alias("residual"))
 
 
-VS = "".join(f", sum(f{i} * f{j}) AS a{i}{j}" for i in range(4) for j in range(i, 4)) + "".join(f", sum(f{i} * v) AS b{i}" for i in range(4))
-
-
-@query()
+def _harmonic_sql() -> str:
+    """Moments of the four basis functions and their elimination, one CTE a step."""
+    n = 4
+    low = lambda i, j: f"a{min(i, j)}{max(i, j)}"
+    out = ", f AS (SELECT yi, xi, 1.0::DOUBLE AS f0, t AS f1, sin(2 * pi() * t) AS f2, cos(2 * pi() * t) AS f3, v FROM (SELECT yi, xi, date_diff('day', DATE '2024-01-01', d) / 10.0 AS t, re / 10 AS v FROM slc))"
+    out += ", e0 AS (SELECT yi, xi, count(*) AS n, sum(v * v) AS yy" + "".join(f", sum(f{i} * f{j}) AS {low(i, j)}" for i in range(n) for j in range(i, n)) + "".join(f", sum(f{i} * v) AS b{i}, sum(f{i} * v) AS k{i}" for i in range(n)) + " FROM f GROUP BY yi, xi)"
+    for i in range(n):
+        cols = [f"{low(r, c)} - {low(i, r)} / nullif({low(i, i)}, 0) * {low(i, c)} AS {low(r, c)}" for r in range(i + 1, n) for c in range(r, n)] + [f"b{r} - {low(i, r)} / nullif({low(i, i)}, 0) * b{i} AS b{r}" for r in range(i + 1, n)]
+        keep = ["yi", "xi", "n", "yy", *(f"k{r}" for r in range(n)), *(low(q, c) for q in range(i + 1) for c in range(q, n)), *(f"b{q}" for q in range(i + 1))]
+        out += f", e{i + 1} AS (SELECT " + ", ".join(keep + cols) + f" FROM e{i})"
+    prev = "e4"
+    for i in reversed(range(n)):
+        rest = "".join(f" - {low(i, c)} * c{c}" for c in range(i + 1, n))
+        out += f", s{i} AS (SELECT *, (b{i}{rest}) / nullif({low(i, i)}, 0) AS c{i} FROM {prev})"
+        prev = f"s{i}"
+    return out + f" SELECT yi, xi, CASE WHEN n >= 5 THEN {R('c1', 4)} END AS velocity, CASE WHEN n >= 5 THEN {R('sqrt(greatest(yy - (c0 * k0 + c1 * k1 + c2 * k2 + c3 * k3), 0) / n)', 4)} END AS rmse, n FROM s0"
+
+
+def _zoom_sql(levels: int) -> str:
+    """The periodogram's levels, each around the best candidate so far."""
+    out = """, u AS (SELECT yi, xi, atan2(im, re) AS a, corr AS w, dt FROM stack WHERE (re <> 0 OR im <> 0) AND corr > 0), ok AS (SELECT yi, xi, count(*) AS n FROM u GROUP BY yi, xi HAVING count(*) >= 4),
+  mn AS (SELECT min(abs(dt)) AS m FROM stack WHERE dt <> 0), z0 AS (SELECT yi, xi, n, -(pi() / 2) / m AS lo, 2.0 * (pi() / 2) / m / 16 AS step, -1.0::DOUBLE AS bs, 0.0::DOUBLE AS bv FROM ok, mn)"""
+    for i in range(levels):
+        out += f""", q{i} AS (SELECT z.yi, z.xi, j, z.lo + z.step * j AS v, round(pow(sum(w * cos(a - (z.lo + z.step * j) * dt)), 2) + pow(sum(w * sin(a - (z.lo + z.step * j) * dt)), 2), 6) AS sc FROM z{i} z, range(16) r(j), u WHERE u.yi = z.yi AND u.xi = z.xi GROUP BY z.yi, z.xi, j, z.lo, z.step),
+  t{i} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY yi, xi ORDER BY sc DESC, j) AS k FROM q{i}) WHERE k = 1),
+  z{i + 1} AS (SELECT yi, xi, n, bv - step AS lo, 2 * step / 16 AS step, bs, bv FROM (SELECT z.yi, z.xi, n, step, CASE WHEN sc > bs THEN sc ELSE bs END AS bs, CASE WHEN sc > bs THEN v ELSE bv END AS bv FROM z{i} z JOIN t{i} t ON z.yi = t.yi AND z.xi = t.xi))"""
+    r = "atan2(sin(a - bv * dt), cos(a - bv * dt))"
+    return out + f" SELECT z.yi, z.xi, {R('any_value(bv)', 4)} AS velocity, {R(f'sqrt(sum(w * {r} * {r}) / nullif(sum(w), 0))', 4)} AS rmse, any_value(n) AS n FROM z{levels} z JOIN u ON u.yi = z.yi AND u.xi = z.xi GROUP BY z.yi, z.xi"
+
+
+@query(_harmonic_sql())
 def velocity_series(s, d):
     ser = fx.slc(s, d).select("yi", "xi", (F.datediff("d", F.lit(fx.EPOCH).cast("date")) / 10.0).alias("t"), (C("re") / 10).alias("value"))
     v = trend.velocity_series(ser)
@@ -520,7 +547,7 @@ def velocity_pairs_coarse(s, d):
     return trend.velocity_pairs(fx.stack(s, d), max_refine=0).select("yi", "xi", rounded(C("velocity"), 4).alias("velocity"), "n")
 
 
-@query()
+@query(_zoom_sql(4))
 def velocity_pairs(s, d):
     return trend.velocity_pairs(fx.stack(s, d)).select("yi", "xi", rounded(C("velocity"), 4).alias("velocity"), rounded(C("rmse"), 4).alias("rmse"), "n")
 
