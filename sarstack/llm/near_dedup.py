@@ -18,7 +18,7 @@ Steps
    is in are its odd ones. Where they are at most ODD, each is compared with
    all other members: a bounded number of pairs for each member. Otherwise the
    smallest set is the leader, and members are compared with their leader, not
-   with one another.
+   with one another; large buckets that share members count as one.
 4. Two members of a large bucket that differ in component must still be
    compared if they can link. At least one of them, y, missed its leader l, and l is no larger than
    either; so what x and y share cannot lie within l: a link (x, y) needs a
@@ -34,7 +34,7 @@ Steps
 6. Components by minimum labels with pointer jumping, a written table each round.
 
 Recall of the candidate search at similarity s, with g hashes a group:
-(1 - (1 - s**g)**m)**2, i.e. 0.9985 at 0.8 and 0.99998 at 0.9 for g = 3, m = 10.
+(1 - (1 - s**g)**m)**2, i.e. 0.9988 at 0.8 and 0.9999993 at 0.9 for g = 4, m = 14.
 
 Defined cases: null texts and texts without words have an empty set and link
 with nothing. Texts shorter than a shingle are one shingle. Rows with a null
@@ -56,9 +56,9 @@ from ._bytes import MULT, Block, blocks, distinct, mix, owner, shingles
 from ._store import written
 
 U = np.uint64
-GROUPS, PER_GROUP = 10, 3
+GROUPS, PER_GROUP = 14, 4
 #: Odd members of a bucket up to which they are compared with all of it.
-ODD = 64
+ODD = 36
 #: Texts whose shingles are counted for the order, and shingles that the order ranks.
 ORDER_SAMPLE, ORDER_SHINGLES = 16_000, 400_000
 _SEEDS = mix(np.arange(1, 2 * GROUPS * PER_GROUP + 1, dtype=U) * U(0x9E3779B97F4A7C15))
@@ -143,13 +143,14 @@ def led(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
 
     Buckets with few odd members give the pairs of those with all others, the
     smaller set first, that can reach the similarity and differ in label; the
-    rest give each member with the leader. ``before`` holds the keys under which
+    rest give each member with its leader. ``before`` holds the keys under which
     a member was met already: a pair that shares one of them is left to it.
     """
     by_label = rows.groupBy(*keys, "label").agg(F.count("*").alias("c"), F.min(F.struct("n", "id")).alias("l"))
     per = by_label.groupBy(*keys).agg(F.min("l").alias("l"), F.sum("c").alias("c"), F.max(F.struct("c", "label")).alias("main")).where("c > main.c")
-    all_ = rows.join(per.select(*keys, F.col("l.id").alias("leader"), F.col("main.label").alias("main"), (F.col("c") - F.col("main.c")).alias("n_odd")), keys)
-    big = all_.where((F.col("n_odd") > ODD) & (F.col("id") != F.col("leader"))).select("leader", "id", F.lit(True).alias("big"))
+    members = rows.join(per.select(*keys, F.col("l.id").alias("leader"), F.col("main.label").alias("main"), (F.col("c") - F.col("main.c")).alias("n_odd")), keys)
+    all_ = written(members, "members")
+    big = one_leader(all_.where(F.col("n_odd") > ODD).select("leader", "id", "n"))
     few = all_.where(F.col("n_odd") <= ODD)
     odd = few.where(F.col("label") != F.col("main")).groupBy(*keys).agg(F.collect_list(F.struct("n", "id", "label", "before")).alias("odd"))
     fits = lambda y: (y["label"] != F.col("label")) & (F.least(y["n"], F.col("n")) * 100 >= F.greatest(y["n"], F.col("n")) * percent) & ~F.arrays_overlap(y["before"], F.col("before"))
@@ -160,6 +161,16 @@ def led(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
     return both.groupBy("leader", "id").agg(F.max("big").alias("big"))
 
 
+def one_leader(rows: DataFrame) -> DataFrame:
+    """(leader, id, big) of large buckets: those that share members become one, so each member has one leader."""
+    if not rows.limit(1).count():
+        return rows.select("leader", "id", F.lit(True).alias("big"))
+    of = components(rows.select(F.col("leader").alias("x"), F.col("id").alias("y")))
+    own = written(rows.select("id", "n").distinct().join(of, "id"), "large")
+    lead = own.groupBy("label").agg(F.min(F.struct("n", "id")).alias("l")).select("label", F.col("l.id").alias("leader"))
+    return own.join(lead, "label").where("id <> leader").select("leader", "id", F.lit(True).alias("big"))
+
+
 def candidates(reps: DataFrame, percent: int) -> DataFrame:
     """(leader, id, big) of the table keys that two classes or more share."""
     own = reps.select("id", "n", F.posexplode("keys").alias("g", "key")).select("id", "n", "g", F.xxhash64("g", "key").alias("key"))
@@ -193,7 +204,7 @@ def refine(star: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     rows = rows.select("under", "id", "n", "label", "odd", "s", F.slice("prefix", F.lit(1), F.col("at")).alias("before"))
     # only shingles of members outside the leader's component can matter
     some = rows.groupBy("under", "s").agg(F.min("label").alias("a"), F.max("label").alias("z"), F.max("odd").alias("odd")).where("odd and a <> z").select("under", "s")
-    return led(rows.drop("odd").join(some, ["under", "s"], "left_semi"), ["under", "s"], percent)
+    return led(written(rows.drop("odd").join(some, ["under", "s"], "left_semi"), "shingle-buckets"), ["under", "s"], percent)
 
 
 def components(edges: DataFrame) -> DataFrame:
