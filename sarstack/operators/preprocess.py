@@ -192,3 +192,25 @@ def robust_plane(x: np.ndarray, y: np.ndarray, v: np.ndarray, rank: int = 3, tun
             break
         c = new
     return new
+
+
+def to_radar(points: DataFrame, states: DataFrame, start: float, prf: float, near_range: float, rng_samp_rate: float) -> DataFrame:
+    """points (id, x, y, z in metres, Earth-fixed) with the line ``azi`` and sample ``rng`` at which an orbit sees them.
+
+    ``states``: t, px..pz, vx..vz of one pass, a few hundred rows at most; they go out with the code.
+    """
+    from ..kernels import orbit
+
+    ready(points.sparkSession)
+    rows = np.array([tuple(r) for r in states.select("t", "px", "py", "pz", "vx", "vy", "vz").orderBy("t").limit(100_000).collect()], float)
+    half = 299792458.0 / 2 / rng_samp_rate
+    src = points.select("id", *(F.col(c).cast("double") for c in "xyz"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            g = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in "xyz"], 1)
+            t, r = orbit.see(rows[:, 0], rows[:, 1:4], rows[:, 4:7], g)
+            ok = np.isfinite(t)
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array((t - start) * prf, mask=~ok), pa.array((r - near_range) / half, mask=~ok)], names=["id", "azi", "rng"])
+
+    return src.mapInArrow(run, f"id {dict(src.dtypes)['id']}, azi double, rng double")
