@@ -450,8 +450,8 @@ def _gauss_sql(keys: str, values: list[str], sy: float, sx: float, src: str, low
     cols = ", ".join(f"sum(w * n_{v}) AS n_{v}, sum(w * d_{v}) AS d_{v}" for v in values)
     out += f", e AS (SELECT min(yi) AS y0, max(yi) AS y1, min(xi) AS x0, max(xi) AS x1 FROM geom)"
     out += f", p0 AS (SELECT {keys}, yi, xi, " + ", ".join(f"{v} AS n_{v}, CASE WHEN {v} IS NOT NULL THEN 1.0 END AS d_{v}" for v in values) + f" FROM {src})"
-    out += f", p1 AS (SELECT {keys}, t AS yi, xi, {cols} FROM (SELECT p0.*, o, w, unnest(range(y0, y1 + 1)) AS t, y0, y1 FROM p0, e, ky) WHERE least(greatest(t + o, y0), y1) = yi GROUP BY {keys}, t, xi)"
-    out += f", p2 AS (SELECT {keys}, yi, t AS xi, {cols} FROM (SELECT p1.*, o, w, unnest(range(x0, x1 + 1)) AS t, x0, x1 FROM p1, e, kx) WHERE least(greatest(t + o, x0), x1) = xi GROUP BY {keys}, yi, t)"
+    out += f", p1 AS (SELECT {keys}, cast(t AS INT) AS yi, xi, {cols} FROM (SELECT p0.*, o, w, unnest(range(y0, y1 + 1)) AS t, y0, y1 FROM p0, e, ky) WHERE least(greatest(t + o, y0), y1) = yi GROUP BY {keys}, t, xi)"
+    out += f", p2 AS (SELECT {keys}, yi, cast(t AS INT) AS xi, {cols} FROM (SELECT p1.*, o, w, unnest(range(x0, x1 + 1)) AS t, x0, x1 FROM p1, e, kx) WHERE least(greatest(t + o, x0), x1) = xi GROUP BY {keys}, yi, t)"
     return out
 
 
