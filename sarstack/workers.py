@@ -7,10 +7,12 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
+#: Rows of one Arrow batch: texts of many KB make Spark's 10,000 rows too large for small executors.
+ARROW_ROWS = 1_000
 
 
 def ready(spark: SparkSession) -> None:
-    """Put this package's folder on the workers' path.
+    """Put this package's folder on the workers' path; send Arrow batches of ARROW_ROWS rows unless the session says otherwise.
 
     Enough where executors see the same folder (one machine, a shared
     installation). Elsewhere the package is shipped by ``--py-files``, and an
@@ -20,3 +22,6 @@ def ready(spark: SparkSession) -> None:
     path = [p for p in env.get("PYTHONPATH", "").split(":") if p]
     if ROOT not in path:
         env["PYTHONPATH"] = ":".join([ROOT, *path])
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows) == "10000":
+        spark.conf.set(rows, str(ARROW_ROWS))
