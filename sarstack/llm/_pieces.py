@@ -19,7 +19,7 @@ from ._bytes import Block, mix
 
 U = np.uint64
 LIMIT = 250_000
-ENCODER_LIMIT = 1_500_000  # about 30 bytes each
+ENCODER_LIMIT = 800_000  # about 30 bytes each
 _LONG = 64  # longer pieces are not kept
 _MAY_LEAD = np.zeros(256, bool)  # bytes that may begin a white-space character of several bytes
 _MAY_LEAD[[0xC2, 0xE1, 0xE2, 0xE3]] = True
