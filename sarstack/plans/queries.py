@@ -684,14 +684,25 @@ def stl(s, d):
   FROM orders o JOIN (SELECT l_orderkey * 10 + l_linenumber AS file, concat('S', l_suppkey % 2) AS mission, CASE WHEN l_quantity < 10 THEN 'POEORB' ELSE 'RESORB' END AS kind, l_shipdate AS start, l_shipdate + INTERVAL 30 HOUR AS stop, l_extendedprice AS made FROM lineitem WHERE l_orderkey % 50 = 0) f
   ON f.mission = concat('S', o.o_custkey % 2) AND o.o_orderdate + INTERVAL 6 HOUR BETWEEN f.start AND f.stop) WHERE k = 1) ON id = o_orderkey""")
 def orbit_match(s, d):
+    """Only every fiftieth order's files, as its SQL has it; ``orbit_match_all`` has them all."""
+    return _orbit_match(s, d, fx.table(s, d, "lineitem").where("l_orderkey % 50 = 0"))
+
+
+def _orbit_match(s, d, li):
     from ..sources import catalog
 
     scenes = fx.table(s, d, "orders").select(C("o_orderkey").alias("id"), F.concat(F.lit("S"), (C("o_custkey") % 2).cast("string")).alias("mission"), (C("o_orderdate") + F.expr("interval 6 hours")).alias("t"))
-    li = fx.table(s, d, "lineitem").where("l_orderkey % 50 = 0")
     orbits = li.select((C("l_orderkey") * 10 + C("l_linenumber")).alias("file"), F.concat(F.lit("S"), (C("l_suppkey") % 2).cast("string")).alias("mission"), F.when(C("l_quantity") < 10, "POEORB").otherwise("RESORB").alias("kind"), C("l_shipdate").alias("start"), (C("l_shipdate") + F.expr("interval 30 hours")).alias("stop"), C("l_extendedprice").alias("made"))
     return catalog.match_orbits(scenes, orbits).select("id", "file", "kind")
 
 
+@query("""!SELECT o_orderkey AS id, file, kind FROM orders LEFT JOIN (SELECT id, file, kind FROM (SELECT o.o_orderkey AS id, f.file, f.kind, row_number() OVER (PARTITION BY o.o_orderkey ORDER BY CASE WHEN kind = 'POEORB' THEN 0 ELSE 1 END, made DESC, file) AS k
+  FROM orders o JOIN (SELECT l_orderkey * 10 + l_linenumber AS file, concat('S', l_suppkey % 2) AS mission, CASE WHEN l_quantity < 10 THEN 'POEORB' ELSE 'RESORB' END AS kind, l_shipdate AS start, l_shipdate + INTERVAL 30 HOUR AS stop, l_extendedprice AS made FROM lineitem) f
+  ON f.mission = concat('S', o.o_custkey % 2) AND o.o_orderdate + INTERVAL 6 HOUR BETWEEN f.start AND f.stop) WHERE k = 1) ON id = o_orderkey""")
+def orbit_match_all(s, d):
+    return _orbit_match(s, d, fx.table(s, d, "lineitem"))
+
+
 @query("""!WITH c AS (SELECT l_suppkey AS file, l_partkey * 5000 AS start, (l_quantity * 100)::BIGINT AS size FROM lineitem),
 o AS (SELECT *, coalesce(CASE WHEN start - max(start + size) OVER (PARTITION BY file ORDER BY start, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 40000 THEN 1 ELSE 0 END, 1) AS n0, max(start + size) OVER (PARTITION BY file ORDER BY start, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e FROM c),
 r AS (SELECT *, sum(CASE WHEN e IS NULL THEN 1 ELSE n0 END) OVER (PARTITION BY file ORDER BY start, size ROWS UNBOUNDED PRECEDING) AS region FROM o)
