@@ -225,10 +225,19 @@ def histogram_corr(s, d):
 @query("""!WITH e AS (SELECT vec_id, unnest(embedding[1:8]) AS v, unnest(range(8)) AS i FROM embeddings)
 SELECT cast(a.i AS INT) AS i, cast(b.i AS INT) AS j, CASE WHEN a.i = b.i THEN 1.0 ELSE round(corr(a.v::DOUBLE, b.v::DOUBLE), 2) + 0.0 END AS r FROM e a JOIN e b ON a.vec_id = b.vec_id GROUP BY a.i, b.i""")
 def corrcoef_channels(s, d):
+    """Only the first eight channels, as its SQL has it; ``corrcoef_channels_all`` has them all."""
     e = fx.table(s, d, "embeddings").select("vec_id", F.posexplode(F.slice("embedding", 1, 8)).alias("i", "v")).withColumn("v", C("v").cast("double"))
     return aggregate.corrcoef(e, "vec_id", "i", "v", 8)
 
 
+@query("""!WITH e AS (SELECT vec_id, unnest(embedding) AS v, unnest(range(len(embedding))) AS i FROM embeddings)
+SELECT cast(a.i AS INT) AS i, cast(b.i AS INT) AS j, CASE WHEN a.i = b.i THEN 1.0 ELSE round(corr(a.v::DOUBLE, b.v::DOUBLE), 2) + 0.0 END AS r FROM e a JOIN e b ON a.vec_id = b.vec_id GROUP BY a.i, b.i""")
+def corrcoef_channels_all(s, d):
+    t = fx.table(s, d, "embeddings")
+    e = t.select("vec_id", F.posexplode("embedding").alias("i", "v")).withColumn("v", C("v").cast("double"))
+    return aggregate.corrcoef(e, "vec_id", "i", "v", t.agg(F.max(F.size("embedding"))).first()[0])
+
+
 @query(f""", p AS (SELECT yi, xi, d, re * re + im * im AS p FROM slc), m AS (SELECT d, avg(p) AS m FROM p GROUP BY d),
   q AS (SELECT yi, xi, p * ((SELECT avg(m) FROM m) / nullif(m, 0)) AS q FROM p JOIN m USING (d)) SELECT yi, xi, {R('avg(q) / nullif(2 * stddev_samp(q), 0)')} AS psf, count(q) AS n FROM q GROUP BY yi, xi""")
 def ps_function(s, d):

@@ -1,5 +1,6 @@
 """The queries that take the whole of their tables, against plain Python or DuckDB over all rows."""
 
+import numpy as np
 import pytest
 
 from sarstack.plans.queries import QUERIES
@@ -21,3 +22,11 @@ def test_orbit_match_takes_every_file(spark, con):
         own = [(late, -made, file) for file, m, late, start, stop, made in files if m == mission and start <= t <= stop]
         want[i] = min(own)[2] if own else None
     assert {r.id: r.file for r in QUERIES["orbit_match_all"](spark, SF).collect()} == want
+
+
+def test_corrcoef_has_every_channel(spark, con):
+    x = np.array([r[0] for r in con.sql("SELECT embedding FROM embeddings").fetchall()], float)
+    got = np.full((x.shape[1],) * 2, np.nan)
+    for r in QUERIES["corrcoef_channels_all"](spark, SF).collect():
+        got[r.i, r.j] = r.r
+    assert np.allclose(got, np.corrcoef(x.T), atol=0.00501)
