@@ -99,37 +99,40 @@ def interp_linear(df: DataFrame, fy: float, fx: float, target: DataFrame, value:
     return j.groupBy("yi", "xi").agg(F.when(F.count("v") == F.count("*"), F.sum(F.col("w") * F.col("v"))).alias(value))
 
 
-def neighbors(df: DataFrame, h: int, w: int, lattice: DataFrame) -> DataFrame:
+def neighbors(df: DataFrame, h: int, w: int, lattice: DataFrame, keys: list[str] = []) -> DataFrame:  # noqa: B006
     """Valid pixels in an odd h x w window less its centre; 0 becomes NULL, as do borders.
 
-    Two passes of running counts over index ranges: columns, then rows.
+    Two passes of running counts over index ranges: columns, then rows. Each
+    value of ``keys`` is a grid of its own over the whole lattice.
     """
     hy, hx = h // 2, w // 2
-    full = lattice.select("yi", "xi").join(df.select("yi", "xi", F.lit(1).alias("v")), ["yi", "xi"], "left").withColumn("v", F.coalesce("v", F.lit(0)))
-    col = full.withColumn("s", F.sum("v").over(Window.partitionBy("xi").orderBy("yi").rangeBetween(-hy, hy)))
-    box = col.withColumn("n", F.sum("s").over(Window.partitionBy("yi").orderBy("xi").rangeBetween(-hx, hx)))
+    cells = lattice.select("yi", "xi")
+    cells = cells.crossJoin(df.select(*keys).distinct()) if keys else cells
+    full = cells.join(df.select(*keys, "yi", "xi", F.lit(1).alias("v")), [*keys, "yi", "xi"], "left").withColumn("v", F.coalesce("v", F.lit(0)))
+    col = full.withColumn("s", F.sum("v").over(Window.partitionBy(*keys, "xi").orderBy("yi").rangeBetween(-hy, hy)))
+    box = col.withColumn("n", F.sum("s").over(Window.partitionBy(*keys, "yi").orderBy("xi").rangeBetween(-hx, hx)))
     ext = lattice.agg(F.min("yi").alias("y0"), F.max("yi").alias("y1"), F.min("xi").alias("x0"), F.max("xi").alias("x1"))
     d = box.join(F.broadcast(ext))  # ext is one row
     inner = F.col("yi").between(F.col("y0") + hy, F.col("y1") - hy) & F.col("xi").between(F.col("x0") + hx, F.col("x1") - hx)
     n = F.col("n") - F.col("v")
-    return d.select("yi", "xi", F.when(inner & (n > 0), n).alias("n"))
+    return d.select(*keys, "yi", "xi", F.when(inner & (n > 0), n).alias("n"))
 
 
-def morphology(df: DataFrame, op: str) -> DataFrame:
+def morphology(df: DataFrame, op: str, keys: list[str] = []) -> DataFrame:  # noqa: B006
     """erosion, dilation, opening or closing of a complete boolean grid (yi, xi, v) by a 3 x 3 cross.
 
-    Outside the grid is False.
+    Each value of ``keys`` is a grid of its own. Outside the grid is False.
     """
     if op == "opening":
-        return morphology(morphology(df, "erosion"), "dilation")
+        return morphology(morphology(df, "erosion", keys), "dilation", keys)
     if op == "closing":
-        return morphology(morphology(df, "dilation"), "erosion")
-    wy, wx = Window.partitionBy("xi").orderBy("yi"), Window.partitionBy("yi").orderBy("xi")
+        return morphology(morphology(df, "dilation", keys), "erosion", keys)
+    wy, wx = Window.partitionBy(*keys, "xi").orderBy("yi"), Window.partitionBy(*keys, "yi").orderBy("xi")
     cells = [F.col("v")] + [F.coalesce(f("v").over(w), F.lit(False)) for w in (wy, wx) for f in (F.lag, F.lead)]
     out = cells[0]
     for c in cells[1:]:
         out = out & c if op == "erosion" else out | c
-    return df.select("yi", "xi", out.alias("v"))
+    return df.select(*keys, "yi", "xi", out.alias("v"))
 
 
 def polyval(df: DataFrame, coeffs: DataFrame, x: Column) -> DataFrame:

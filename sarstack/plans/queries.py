@@ -417,19 +417,39 @@ def interp_linear(s, d):
 @query(""", day AS (SELECT yi, xi FROM slc WHERE d = DATE '2024-01-05')
   SELECT g.yi, g.xi, CASE WHEN g.yi BETWEEN 1 AND (SELECT max(yi) FROM geom) - 1 AND g.xi BETWEEN 1 AND (SELECT max(xi) FROM geom) - 1 THEN nullif((SELECT count(*) FROM day n WHERE abs(n.yi - g.yi) <= 1 AND abs(n.xi - g.xi) <= 1) - (SELECT count(*) FROM day n WHERE n.yi = g.yi AND n.xi = g.xi), 0) END AS n FROM geom g""")
 def neighbors(s, d):
+    """Only one date, as its SQL has it; ``neighbors_all`` has them all."""
     sl = fx.slc(s, d)
     return grid.neighbors(sl.where("d = date'2024-01-05'"), 3, 3, fx.geometry(sl))
 
 
+@query(""", lat AS (SELECT q.d, yi, xi FROM geom, (SELECT DISTINCT d FROM slc) q)
+  SELECT g.d, g.yi, g.xi, CASE WHEN g.yi BETWEEN 1 AND (SELECT max(yi) FROM geom) - 1 AND g.xi BETWEEN 1 AND (SELECT max(xi) FROM geom) - 1 THEN nullif(count(n.yi) - count(CASE WHEN n.yi = g.yi AND n.xi = g.xi THEN 1 END), 0) END AS n
+  FROM lat g LEFT JOIN slc n ON n.d = g.d AND abs(n.yi - g.yi) <= 1 AND abs(n.xi - g.xi) <= 1 GROUP BY g.d, g.yi, g.xi""")
+def neighbors_all(s, d):
+    sl = fx.slc(s, d)
+    return grid.neighbors(sl, 3, 3, fx.geometry(sl), ["d"])
+
+
 @query(""", b AS (SELECT g.yi, g.xi, s.yi IS NOT NULL AS v FROM geom g LEFT JOIN (SELECT yi, xi FROM slc WHERE d = DATE '2024-01-05') s USING (yi, xi)),
   e AS (SELECT c.yi, c.xi, c.v AND count(*) FILTER (WHERE n.v) = 4 AS v FROM b c LEFT JOIN b n ON abs(n.yi - c.yi) + abs(n.xi - c.xi) = 1 GROUP BY c.yi, c.xi, c.v)
   SELECT c.yi, c.xi, c.v OR count(*) FILTER (WHERE n.v) > 0 AS v FROM e c LEFT JOIN e n ON abs(n.yi - c.yi) + abs(n.xi - c.xi) = 1 GROUP BY c.yi, c.xi, c.v""")
 def morphology_opening(s, d):
+    """Only one date, as its SQL has it; ``morphology_opening_all`` has them all."""
     sl = fx.slc(s, d)
     full = fx.geometry(sl).select("yi", "xi").join(sl.where("d = date'2024-01-05'").select("yi", "xi", F.lit(True).alias("v")), ["yi", "xi"], "left").select("yi", "xi", F.coalesce("v", F.lit(False)).alias("v"))
     return grid.morphology(full, "opening")
 
 
+@query(""", b AS (SELECT q.d, g.yi, g.xi, s.yi IS NOT NULL AS v FROM geom g CROSS JOIN (SELECT DISTINCT d FROM slc) q LEFT JOIN slc s ON s.d = q.d AND s.yi = g.yi AND s.xi = g.xi),
+  e AS (SELECT c.d, c.yi, c.xi, c.v AND count(*) FILTER (WHERE n.v) = 4 AS v FROM b c LEFT JOIN b n ON n.d = c.d AND abs(n.yi - c.yi) + abs(n.xi - c.xi) = 1 GROUP BY c.d, c.yi, c.xi, c.v)
+  SELECT c.d, c.yi, c.xi, c.v OR count(*) FILTER (WHERE n.v) > 0 AS v FROM e c LEFT JOIN e n ON n.d = c.d AND abs(n.yi - c.yi) + abs(n.xi - c.xi) = 1 GROUP BY c.d, c.yi, c.xi, c.v""")
+def morphology_opening_all(s, d):
+    sl = fx.slc(s, d)
+    cells = fx.geometry(sl).select("yi", "xi").crossJoin(sl.select("d").distinct())
+    full = cells.join(sl.select("d", "yi", "xi", F.lit(True).alias("v")), ["d", "yi", "xi"], "left").select("d", "yi", "xi", F.coalesce("v", F.lit(False)).alias("v"))
+    return grid.morphology(full, "opening", ["d"])
+
+
 @query("SELECT yi * 30.0::DOUBLE AS y, xi * 10.0::DOUBLE AS x, round(re, 6) + 0.0 AS re, round(im, 6) + 0.0 AS im FROM slc WHERE coalesce(re, im) IS NOT NULL")
 def export_pixels(s, d):
     return grid.pixels(fx.slc(s, d), ["re", "im"], 30.0, 10.0).select("y", "x", rounded(C("re")).alias("re"), rounded(C("im")).alias("im"))
@@ -475,11 +495,21 @@ def gaussian(s, d):
        + _gauss_sql("pair_id", ["re", "im", "pa", "pb"], 0.6, 0.5, "z", "")
        + f" SELECT pair_id, yi, xi, CASE WHEN d_re > 0.5 THEN {R('n_re / d_re', 4)} END AS re, CASE WHEN d_re > 0.5 THEN {R('least(1.0, greatest(0.0, sqrt(pow(n_re / d_re, 2) + pow(n_im / d_im, 2)) / nullif(sqrt((n_pa / d_pa) * (n_pb / d_pb)), 0)))')} END AS corr FROM p2")
 def interferogram(s, d):
+    """Only the pairs of one day, as its SQL has it; ``interferogram_all`` has them all."""
     p = network.baseline(fx.acquisitions(s, d), 3, cleanup=False).where("duration <= 1")
     g = filters.interferogram(fx.slc(s, d), p, (0.6, 0.5))
     return g.select("pair_id", "yi", "xi", rounded(C("re"), 4).alias("re"), rounded(C("corr")).alias("corr"))
 
 
+@query(""", z AS (SELECT pair_id, a.yi, a.xi, a.re * b.re + a.im * b.im AS re, a.im * b.re - a.re * b.im AS im, a.re * a.re + a.im * a.im AS pa, b.re * b.re + b.im * b.im AS pb FROM pairs JOIN slc a ON a.d = ref JOIN slc b ON b.d = rep AND a.yi = b.yi AND a.xi = b.xi)"""
+       + _gauss_sql("pair_id", ["re", "im", "pa", "pb"], 0.6, 0.5, "z", "")
+       + f" SELECT pair_id, yi, xi, CASE WHEN d_re > 0.5 THEN {R('n_re / d_re', 4)} END AS re, CASE WHEN d_re > 0.5 THEN {R('least(1.0, greatest(0.0, sqrt(pow(n_re / d_re, 2) + pow(n_im / d_im, 2)) / nullif(sqrt((n_pa / d_pa) * (n_pb / d_pb)), 0)))')} END AS corr FROM p2")
+def interferogram_all(s, d):
+    p = network.baseline(fx.acquisitions(s, d), 3, cleanup=False)
+    g = filters.interferogram(fx.slc(s, d), p, (0.6, 0.5))
+    return g.select("pair_id", "yi", "xi", rounded(C("re"), 4).alias("re"), rounded(C("corr")).alias("corr"))
+
+
 @query(f"SELECT pair_id, yi, xi, {R('sqrt(pow(atan2(sin(ly - v), cos(ly - v)), 2) + pow(atan2(sin(lx - v), cos(lx - v)), 2))')} AS gradient FROM (SELECT *, lead(v) OVER (PARTITION BY pair_id, xi ORDER BY yi) AS ly, lead(v) OVER (PARTITION BY pair_id, yi ORDER BY xi) AS lx FROM (SELECT *, atan2(im, re) AS v FROM stack)) WHERE ly IS NOT NULL AND lx IS NOT NULL")
 def wrapped_gradient(s, d):
     p = phases(s, d)
@@ -658,27 +688,27 @@ def goldstein(s, d):
 
 @query()
 def unwrap2d(s, d):
-    return kernels.unwrap2d(phases(s, d).where("days = 1")).select("pair_id", "yi", "xi", rounded(C("value"), 4).alias("value"), "component")
+    return kernels.unwrap2d(phases(s, d)).select("pair_id", "yi", "xi", rounded(C("value"), 4).alias("value"), "component")
 
 
 @query()
 def unwrap2d_link(s, d):
-    return kernels.unwrap2d(phases(s, d).where("days = 2 and yi % 7 <> 3"), link=True).select("pair_id", "yi", "xi", rounded(C("value"), 4).alias("value"), "component")
+    return kernels.unwrap2d(phases(s, d), link=True).select("pair_id", "yi", "xi", rounded(C("value"), 4).alias("value"), "component")
 
 
 @query()
 def unwrap2d_chunk(s, d):
-    return kernels.unwrap2d_chunk(phases(s, d).where("days = 1"), tile=16, overlap=4).select("pair_id", "yi", "xi", rounded(C("value"), 4).alias("value"))
+    return kernels.unwrap2d_chunk(phases(s, d), tile=16, overlap=4).select("pair_id", "yi", "xi", rounded(C("value"), 4).alias("value"))
 
 
 @query()
 def connected_components(s, d):
-    return kernels.conncomp(phases(s, d).where("days = 1"))
+    return kernels.conncomp(phases(s, d))
 
 
 @query()
 def discontinuity_mask(s, d):
-    return kernels.discontinuity(phases(s, d).where("days = 1"), votes=4).select("pair_id", "yi", "xi", rounded(C("value"), 4).alias("value"))
+    return kernels.discontinuity(phases(s, d), votes=4).select("pair_id", "yi", "xi", rounded(C("value"), 4).alias("value"))
 
 
 @query()

@@ -1,5 +1,8 @@
 """The queries that take the whole of their tables, against plain Python or DuckDB over all rows."""
 
+import math
+from collections import Counter
+
 import numpy as np
 import pytest
 
@@ -30,3 +33,35 @@ def test_corrcoef_has_every_channel(spark, con):
     for r in QUERIES["corrcoef_channels_all"](spark, SF).collect():
         got[r.i, r.j] = r.r
     assert np.allclose(got, np.corrcoef(x.T), atol=0.00501)
+
+
+@pytest.mark.parametrize("name", ["unwrap2d", "unwrap2d_link", "unwrap2d_chunk", "connected_components", "discontinuity_mask", "interferogram_all"])
+def test_every_pair(spark, name):
+    pairs = {r.pair_id for r in QUERIES["pair_formation"](spark, SF).select("pair_id").distinct().collect()}
+    assert {r.pair_id for r in QUERIES[name](spark, SF).select("pair_id").distinct().collect()} == pairs
+
+
+@pytest.mark.parametrize("name", ["unwrap2d", "connected_components"])
+def test_every_pixel_of_every_pair(spark, name):
+    want = {(r.pair_id, r.yi, r.xi) for r in QUERIES["pair_formation"](spark, SF).collect()}
+    assert {(r.pair_id, r.yi, r.xi) for r in QUERIES[name](spark, SF).collect()} == want
+
+
+def test_link_has_every_pixel_of_components_of_four_or_more(spark):
+    rows = QUERIES["connected_components"](spark, SF).collect()
+    size = Counter((r.pair_id, r.component) for r in rows)
+    want = {(r.pair_id, r.yi, r.xi) for r in rows if size[r.pair_id, r.component] >= 4}
+    assert {(r.pair_id, r.yi, r.xi) for r in QUERIES["unwrap2d_link"](spark, SF).collect()} == want
+
+
+@pytest.mark.parametrize("name", ["unwrap2d", "unwrap2d_link", "unwrap2d_chunk"])
+def test_unwrapped_differs_by_whole_turns(spark, name):
+    wrapped = {(r.pair_id, r.yi, r.xi): math.atan2(r.im, r.re) for r in QUERIES["pair_formation"](spark, SF).collect()}
+    for r in QUERIES[name](spark, SF).collect():
+        turns = (r.value - wrapped[r.pair_id, r.yi, r.xi]) / (2 * math.pi)
+        assert abs(turns - round(turns)) < 1e-4
+
+
+@pytest.mark.parametrize("name", ["neighbors_all", "morphology_opening_all"])
+def test_every_date(spark, con, name):
+    assert QUERIES[name](spark, SF).select("d").distinct().count() == con.sql("SELECT count(DISTINCT cast(ts AS DATE)) FROM events").fetchall()[0][0]
