@@ -43,6 +43,15 @@ def phases(s: SparkSession, d: str) -> DataFrame:
     return fx.stack(s, d).withColumn("value", ph.angle(C("re"), C("im")))
 
 
+def turned(v, name: str) -> list:
+    """Sine and cosine of a wrapped value: equal for -pi and pi."""
+    return [rounded(F.sin(v)).alias(f"{name}_sin"), rounded(F.cos(v)).alias(f"{name}_cos")]
+
+
+def T(v: str, name: str) -> str:  # noqa: N802
+    return f"{R(f'sin({v})')} AS {name}_sin, {R(f'cos({v})')} AS {name}_cos"
+
+
 ANG = "CASE WHEN re <> 0 OR im <> 0 THEN atan2(im, re) END"
 
 
@@ -122,6 +131,12 @@ def triplets(s, d):
   JOIN stack a ON a.pair_id = x.pair_id JOIN stack b ON b.pair_id = y.pair_id AND a.yi = b.yi AND a.xi = b.xi JOIN stack c ON c.pair_id = z.pair_id AND a.yi = c.yi AND a.xi = c.xi
   WHERE abs({W('atan2(a.im, a.re) + atan2(b.im, b.re) - atan2(c.im, c.re)')}) < 3.1""")
 def triplet_closure(s, d):
+    """Without closures of 3.1 and more, as its SQL has it; ``triplet_closure_all`` has every row."""
+    j, c = _closures(s, d)
+    return j.where(F.abs(c) < 3.1).select("p12", "p23", "p13", "yi", "xi", rounded(c).alias("closure"))
+
+
+def _closures(s, d):
     t = network.triplets(network.baseline(fx.acquisitions(s, d), 3, cleanup=False))
     p = phases(s, d).select("pair_id", "yi", "xi", "value")
     j = t
@@ -129,7 +144,15 @@ def triplet_closure(s, d):
         keys = ["yi", "xi"] if k != "p12" else []
         j = j.join(p.select(C("pair_id").alias(k), "yi", "xi", C("value").alias(f"v{k}")), [k, *keys])
     c = ph.wrap(C("vp12") + C("vp23") - C("vp13"))
-    return j.where(F.abs(c) < 3.1).select("p12", "p23", "p13", "yi", "xi", rounded(c).alias("closure"))
+    return j, c
+
+
+@query(f"""SELECT x.pair_id AS p12, y.pair_id AS p23, z.pair_id AS p13, a.yi, a.xi, {T('atan2(a.im, a.re) + atan2(b.im, b.re) - atan2(c.im, c.re)', 'closure')}
+  FROM pairs x JOIN pairs y ON x.rep = y.ref JOIN pairs z ON z.ref = x.ref AND z.rep = y.rep
+  JOIN stack a ON a.pair_id = x.pair_id JOIN stack b ON b.pair_id = y.pair_id AND a.yi = b.yi AND a.xi = b.xi JOIN stack c ON c.pair_id = z.pair_id AND a.yi = c.yi AND a.xi = c.xi""")
+def triplet_closure_all(s, d):
+    j, c = _closures(s, d)
+    return j.select("p12", "p23", "p13", "yi", "xi", *turned(c, "closure"))
 
 
 @query("SELECT pair_id, ref, rep, yi, xi, round(re, 5) + 0.0 AS re, round(im, 5) + 0.0 AS im, round(corr, 6) + 0.0 AS corr FROM stack")
@@ -141,11 +164,21 @@ def pair_formation(s, d):
   SELECT s.pair_id, s.yi, s.xi, {R(W('atan2(s.im, s.re) - a.v + b.v'))} AS value FROM stack s JOIN scr a ON a.d = s.ref AND a.yi = s.yi AND a.xi = s.xi JOIN scr b ON b.d = s.rep AND b.yi = s.yi AND b.xi = s.xi
   WHERE abs({W('atan2(s.im, s.re) - a.v + b.v')}) < 3.14""")
 def subtract_screens(s, d):
+    """Without values of 3.14 and more, as its SQL has it; ``subtract_screens_all`` has every row."""
+    return _screened(s, d).where(F.abs("v") < 3.14).select("pair_id", "yi", "xi", rounded(C("v")).alias("value"))
+
+
+def _screened(s, d):
     scr = fx.slc(s, d).select("d", "yi", "xi", (0.1 * F.sin(C("yi") + C("xi") + F.datediff("d", F.lit(fx.EPOCH).cast("date")))).alias("v"))
     k = lambda a, b: scr.select(C("d").alias(a), "yi", "xi", C("v").alias(b))
     j = phases(s, d).join(k("ref", "va"), ["ref", "yi", "xi"]).join(k("rep", "vb"), ["rep", "yi", "xi"])
-    v = ph.wrap(C("value") - C("va") + C("vb"))
-    return j.where(F.abs(v) < 3.14).select("pair_id", "yi", "xi", rounded(v).alias("value"))
+    return j.withColumn("v", ph.wrap(C("value") - C("va") + C("vb")))
+
+
+@query(f""", scr AS (SELECT d, yi, xi, 0.1 * sin(yi + xi + date_diff('day', DATE '2024-01-01', d)) AS v FROM slc)
+  SELECT s.pair_id, s.yi, s.xi, {T('atan2(s.im, s.re) - a.v + b.v', 'value')} FROM stack s JOIN scr a ON a.d = s.ref AND a.yi = s.yi AND a.xi = s.xi JOIN scr b ON b.d = s.rep AND b.yi = s.yi AND b.xi = s.xi""")
+def subtract_screens_all(s, d):
+    return _screened(s, d).select("pair_id", "yi", "xi", *turned(C("v"), "value"))
 
 
 # --- aggregates -------------------------------------------------------------
@@ -172,10 +205,20 @@ CIRC = f"{R('atan2(avg(sin(v)), avg(cos(v)))')} AS mean, {R('sqrt(-2 * ln(least(
 
 @query(f"SELECT yi, xi, {CIRC} FROM (SELECT *, {ANG} AS v FROM stack) GROUP BY yi, xi HAVING count(*) > 2")
 def reduce_circular(s, d):
+    """Without pixels of two pairs and fewer, as its SQL has it; ``reduce_circular_all`` has every row."""
     g = aggregate.reduce_wrapped(phases(s, d), ["yi", "xi"]).where("n > 2")
     return g.select("yi", "xi", *(rounded(C(c)).alias(c) for c in ("mean", "std", "var")), "n")
 
 
+CIRC_ALL = CIRC[CIRC.index(" AS mean, ") + 10 :]
+
+
+@query(f"SELECT yi, xi, {T('atan2(avg(sin(v)), avg(cos(v)))', 'mean')}, {CIRC_ALL} FROM (SELECT *, {ANG} AS v FROM stack) GROUP BY yi, xi")
+def reduce_circular_all(s, d):
+    g = aggregate.reduce_wrapped(phases(s, d), ["yi", "xi"])
+    return g.select("yi", "xi", *turned(C("mean"), "mean"), *(rounded(C(c)).alias(c) for c in ("std", "var")), "n")
+
+
 @query(f"""SELECT pair_id, cast(floor(yi / 2) AS INT) AS yi, cast(floor(xi / 2) AS INT) AS xi, {R('avg(corr)')} AS value, count(*) AS n FROM stack
   WHERE (floor(yi / 2) + 1) * 2 - 1 <= (SELECT max(yi) FROM stack) AND (floor(xi / 2) + 1) * 2 - 1 <= (SELECT max(xi) FROM stack) GROUP BY 1, 2, 3""")
 def coarsen_real(s, d):
@@ -272,10 +315,16 @@ def scalar_functions(s, d):
 
 @query(f"SELECT pair_id, yi, xi, {R(W('3 * atan2(im, re) + 0.25'))} AS value FROM stack WHERE abs({W('3 * atan2(im, re) + 0.25')}) < 3.14")
 def wrapped_arithmetic(s, d):
+    """Without values of 3.14 and more, as its SQL has it; ``wrapped_arithmetic_all`` has every row."""
     v = ph.wrap(3 * C("value") + 0.25)
     return phases(s, d).where(F.abs(v) < 3.14).select("pair_id", "yi", "xi", rounded(v).alias("value"))
 
 
+@query(f"SELECT pair_id, yi, xi, {T('3 * ' + f'({ANG})' + ' + 0.25', 'value')} FROM stack")
+def wrapped_arithmetic_all(s, d):
+    return phases(s, d).select("pair_id", "yi", "xi", *turned(ph.wrap(3 * C("value") + 0.25), "value"))
+
+
 GEOM = "800000.0 + rng * (299792458.0 / 2) / 64345238.0"
 INC = """, g1 AS (SELECT *, 800000.0 + rng * (299792458.0 / 2) / 64345238.0 AS slant, 6371000.0 + ele AS gd, 6371000.0 + 700000.0 + (702000.0 - 700000.0) * azi / (1500.0 - 1) AS sd FROM geom),
   inc AS (SELECT yi, xi, asin(greatest(-1, least(1, sd * sin(acos(greatest(-1, least(1, (gd * gd + sd * sd - slant * slant) / (2 * gd * sd))))) / slant))) AS inc FROM g1)"""
@@ -300,16 +349,36 @@ def displacement(s, d):
 
 @query(OBS + INC + f" SELECT pair_id, o.yi, o.xi, {R('12.0 - 0.0555 * v * (800000.0 + (810000.0 - 800000.0) * xi / 4) * cos(inc) / nullif(4 * pi() * bpr, 0)', 3)} AS elevation FROM obs o JOIN inc USING (yi, xi) WHERE abs(bpr) > 20")
 def elevation(s, d):
-    j = _obs(s, d).where(F.abs("bpr") > 20).join(_inc(s, d).select("yi", "xi", "inc"), ["yi", "xi"])
+    """Without baselines of 20 m and less, as its SQL has it; ``elevation_all`` has every row."""
+    return _elevation(s, d, _obs(s, d).where(F.abs("bpr") > 20))
+
+
+def _elevation(s, d, obs):
+    j = obs.join(_inc(s, d).select("yi", "xi", "inc"), ["yi", "xi"])
     slant = geo.spread(F.lit(800000.0), F.lit(810000.0), C("xi"), F.lit(5))
     return j.select("pair_id", "yi", "xi", rounded(geo.elevation(C("value"), C("inc"), slant, F.lit(0.0555), C("bpr"), F.lit(12.0)), 3).alias("elevation"))
 
 
+@query(OBS + INC + f" SELECT pair_id, o.yi, o.xi, {R('12.0 - 0.0555 * v * (800000.0 + (810000.0 - 800000.0) * xi / 4) * cos(inc) / nullif(4 * pi() * bpr, 0)', 3)} AS elevation FROM obs o JOIN inc USING (yi, xi)")
+def elevation_all(s, d):
+    return _elevation(s, d, _obs(s, d))
+
+
 @query(f"SELECT pair_id, yi, xi, {R(W('atan2(im, re) - coalesce(CASE WHEN pair_id % 5 <> 0 THEN 0.001 * pair_id * xi + 0.1 END, 0)'))} AS value FROM stack WHERE abs({W('atan2(im, re) - coalesce(CASE WHEN pair_id % 5 <> 0 THEN 0.001 * pair_id * xi + 0.1 END, 0)')}) < 3.14")
 def polyval_subtract(s, d):
-    co = network.baseline(fx.acquisitions(s, d), 3, cleanup=False).where("pair_id % 5 <> 0").select("pair_id", (0.001 * C("pair_id")).alias("ramp"), F.lit(0.1).alias("offset"))
+    """Without values of 3.14 and more, as its SQL has it; ``polyval_subtract_all`` has every row."""
     v = ph.wrap(C("value") - C("poly"))
-    return grid.polyval(phases(s, d), co, C("xi")).where(F.abs(v) < 3.14).select("pair_id", "yi", "xi", rounded(v).alias("value"))
+    return _polyval(s, d).where(F.abs(v) < 3.14).select("pair_id", "yi", "xi", rounded(v).alias("value"))
+
+
+def _polyval(s, d):
+    co = network.baseline(fx.acquisitions(s, d), 3, cleanup=False).where("pair_id % 5 <> 0").select("pair_id", (0.001 * C("pair_id")).alias("ramp"), F.lit(0.1).alias("offset"))
+    return grid.polyval(phases(s, d), co, C("xi"))
+
+
+@query(f"SELECT pair_id, yi, xi, {T(f'{ANG} - CASE WHEN pair_id % 5 <> 0 THEN 0.001 * pair_id * xi + 0.1 ELSE 0 END', 'value')} FROM stack")
+def polyval_subtract_all(s, d):
+    return _polyval(s, d).select("pair_id", "yi", "xi", *turned(ph.wrap(C("value") - C("poly")), "value"))
 
 
 @query(f"""!SELECT s_suppkey, (CASE WHEN lat >= 0 THEN 32600 ELSE 32700 END + ((floor((lon + 180) / 6) % 60 + 60) % 60) + 1)::INT AS epsg, round(n * cos(radians(lat)) * cos(radians(lon)), 3) + 0.0 AS x, round(n * cos(radians(lat)) * sin(radians(lon)), 3) + 0.0 AS y,

@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from sarstack.plans import fixtures as fx
 from sarstack.plans.queries import QUERIES
 from tests.oracle import connect
 
@@ -65,3 +66,31 @@ def test_unwrapped_differs_by_whole_turns(spark, name):
 @pytest.mark.parametrize("name", ["neighbors_all", "morphology_opening_all"])
 def test_every_date(spark, con, name):
     assert QUERIES[name](spark, SF).select("d").distinct().count() == con.sql("SELECT count(DISTINCT cast(ts AS DATE)) FROM events").fetchall()[0][0]
+
+
+def test_elevation_has_short_baselines(spark):
+    want = {(r.pair_id, r.yi, r.xi): r.bpr == 0 for r in fx.stack(spark, SF).select("pair_id", "yi", "xi", "bpr").collect()}
+    got = {(r.pair_id, r.yi, r.xi): r.elevation is None for r in QUERIES["elevation_all"](spark, SF).collect()}
+    assert got == want
+
+
+@pytest.fixture
+def at_the_edge(spark, monkeypatch):
+    """two pixels of one pair: phases pi and (pi - 0.25) / 3."""
+    a = [math.pi, (math.pi - 0.25) / 3]
+    rows = spark.createDataFrame([(5, 0, i, 5 * math.cos(v), 5 * math.sin(v), 0.9) for i, v in enumerate(a)], "pair_id int, yi int, xi int, re double, im double, corr double")
+    monkeypatch.setattr(fx, "stack", lambda s, d: rows)
+
+
+@pytest.mark.parametrize("name, column, xi", [("wrapped_arithmetic_all", "value", 1), ("polyval_subtract_all", "value", 0), ("reduce_circular_all", "mean", 0)])
+def test_rows_at_pi_and_in_sparse_pixels_stay(spark, at_the_edge, name, column, xi):
+    got = {r.xi: (r[f"{column}_sin"], r[f"{column}_cos"]) for r in QUERIES[name](spark, SF).collect()}
+    assert set(got) == {0, 1} and np.allclose(got[xi], (0, -1), atol=1e-6)
+
+
+@pytest.mark.parametrize("name, sql", [
+    ("subtract_screens_all", "SELECT count(*) FROM stack"),
+    ("triplet_closure_all", "SELECT count(*) FROM stack a JOIN stack b ON a.rep = b.ref AND a.yi = b.yi AND a.xi = b.xi JOIN stack c ON c.ref = a.ref AND c.rep = b.rep AND c.yi = a.yi AND c.xi = a.xi"),
+])
+def test_every_row(spark, con, name, sql):
+    assert QUERIES[name](spark, SF).count() == con.sql(fx.SQL + sql).fetchall()[0][0]
