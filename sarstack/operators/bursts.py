@@ -25,11 +25,12 @@ def residuals(df: DataFrame, keys: list[str] = ["pair_id"], wrapped: bool = True
     return per.groupBy(*keys).agg(F.round(F.sum(F.abs(w(F.col("m"))) * F.col("n")) / F.sum("n"), 3).alias("residual"), F.sum("n").alias("n"))
 
 
-def overlap_stats(df: DataFrame, keys: list[str] = ["pair_id"], min_row: int = 10, min_rows: int = 5, min_pixels: int = 50, min_inliers: int = 10, reject: float = 2.5, wrapped: bool = True) -> DataFrame:  # noqa: B006
-    """Offset (weighted median of row means) of every overlap, with its weight and x centre.
+def overlap_stats(df: DataFrame, keys: list[str] = ["pair_id"], min_row: int = 10, min_rows: int = 5, min_pixels: int = 50, min_inliers: int = 10, reject: float = 2.5, wrapped: bool = True, method: str = "median") -> DataFrame:  # noqa: B006
+    """Offset (weighted median of row means, or their mean) of every overlap, with its weight and x centre.
 
     Row means of at least ``min_row`` pixels; rows further than ``reject``
-    median deviations from the median go, if ``min_inliers`` are left.
+    median deviations from the median go, if ``min_inliers`` are left. With
+    ``method`` mean all rows count alike.
     """
     w = wrap if wrapped else (lambda v: v)
     pair = [*keys, "b1", "b2"]
@@ -39,6 +40,9 @@ def overlap_stats(df: DataFrame, keys: list[str] = ["pair_id"], min_row: int = 1
     every = Window.partitionBy(*pair)
     rows = rows.withColumn("pixels", F.sum("w").over(every)).where((F.col("w") >= min_row) & (F.col("pixels") >= min_pixels))
     rows = rows.withColumn("rows", F.count("*").over(every)).where(F.col("rows") >= min_rows)
+    if method == "mean":
+        centre = F.atan2(F.avg(F.sin("a")), F.avg(F.cos("a"))) if wrapped else F.avg("a")
+        return rows.groupBy(*pair).agg(w(centre).alias("offset"), F.sum("w").alias("n"), (F.sum(F.col("x") * F.col("w")) / F.sum("w")).alias("x_centre"))
     rows = rows.withColumn("dev", F.abs(w(F.col("a") - F.median("a").over(every))))
     rows = rows.withColumn("mad", F.median("dev").over(every)).withColumn("inl", (F.col("mad") > 0) & (F.col("dev") <= reject * F.col("mad")))
     rows = rows.withColumn("n_in", F.sum(F.col("inl").cast("int")).over(every)).where((F.col("n_in") < min_inliers) | F.col("inl"))
@@ -88,10 +92,10 @@ def solve_offsets(rows: list[tuple], bursts: list) -> dict:
     return {b: float(x[i]) for b, i in order.items()}
 
 
-def fit(df: DataFrame, keys: list[str] = ["pair_id"], wrapped: bool = True, **limits: float) -> DataFrame:  # noqa: B006
+def fit(df: DataFrame, keys: list[str] = ["pair_id"], wrapped: bool = True, method: str = "median", **limits: float) -> DataFrame:  # noqa: B006
     """burst, keys and offset (3 decimals) to subtract; overlaps are summed up in Spark, the small graph is solved here."""
     spark = df.sparkSession
-    stats = overlap_stats(df, keys, wrapped=wrapped, **limits)
+    stats = overlap_stats(df, keys, wrapped=wrapped, method=method, **limits)
     rows = stats.collect()  # a row an overlap and pair
     bursts = [r.burst for r in df.select("burst").distinct().collect()]
     by: dict[tuple, list] = {}
@@ -106,9 +110,9 @@ def fit(df: DataFrame, keys: list[str] = ["pair_id"], wrapped: bool = True, **li
     return spark.createDataFrame(out, ", ".join(f"{k} {kinds[k]}" for k in keys) + f", burst {kinds['burst']}, offset double")
 
 
-def align(df: DataFrame, keys: list[str] = ["pair_id"], wrapped: bool = True, **limits: float) -> DataFrame:  # noqa: B006
+def align(df: DataFrame, keys: list[str] = ["pair_id"], wrapped: bool = True, method: str = "median", **limits: float) -> DataFrame:  # noqa: B006
     """Bursts less their fitted offsets; a burst without one stays."""
-    off = fit(df, keys, wrapped, **limits)
+    off = fit(df, keys, wrapped, method, **limits)
     v = F.col("value") - F.coalesce("offset", F.lit(0.0))
     return df.join(off, [*keys, "burst"], "left").withColumn("value", wrap(v) if wrapped else v).drop("offset")
 

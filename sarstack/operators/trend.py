@@ -115,22 +115,25 @@ def velocity_pairs(stack: DataFrame, max_refine: int = 3, bins: int = 16) -> Dat
     return d.select("yi", "xi", F.col("best.v").alias("velocity"), F.sqrt(num / F.nullif(den, F.lit(0.0))).alias("rmse"), "n")
 
 
-def trend2d_window(df: DataFrame, regressors: list[str], keys: list[str], size: int, value: str = "value", min_valid: int = 8) -> DataFrame:
+def trend2d_window(df: DataFrame, regressors: list[str], keys: list[str], size: int, value: str = "value", min_valid: int = 8, weight: str | None = None) -> DataFrame:
     """Degree-1 fit in a square window around every pixel, by running sums of the moments.
 
     Moments are summed along rows, then along columns, over index ranges.
+    With ``weight`` they are weighted; a pixel without one, or with zero,
+    takes no part and does not count as valid.
     """
     h = size // 2
     feats = ["__one", *regressors]
     n = len(feats)
     d = df.withColumn("__one", F.lit(1.0))
-    ok = F.col(value).isNotNull()
-    cols = {f"a{i}_{j}": F.when(ok, F.col(feats[i]) * F.col(feats[j])) for i in range(n) for j in range(i, n)} | {f"b{i}": F.when(ok, F.col(feats[i]) * F.col(value)) for i in range(n)}
+    w = F.col(weight) if weight else F.lit(1.0)
+    ok = F.col(value).isNotNull() & (w > 0)
+    cols = {f"a{i}_{j}": F.when(ok, w * F.col(feats[i]) * F.col(feats[j])) for i in range(n) for j in range(i, n)} | {f"b{i}": F.when(ok, w * F.col(feats[i]) * F.col(value)) for i in range(n)}
+    cols |= {"__n": F.when(ok, F.lit(1.0))}
     d = d.withColumns(cols)
     for part, order in (("xi", "yi"), ("yi", "xi")):
-        w = Window.partitionBy(*keys, part).orderBy(order).rangeBetween(-h, h)
-        d = d.withColumns({c: F.sum(c).over(w) for c in cols})
-    d = d.withColumn("__n", F.col("a0_0"))
+        run = Window.partitionBy(*keys, part).orderBy(order).rangeBetween(-h, h)
+        d = d.withColumns({c: F.sum(c).over(run) for c in cols})
     d = d.withColumns({f"a{i}_{i}": F.col(f"a{i}_{i}") + 1e-9 for i in range(n)})
     s = solve_staged(d, [[f"a{min(i, j)}_{max(i, j)}" for j in range(n)] for i in range(n)], [f"b{i}" for i in range(n)], [f"c{i}" for i in range(n)])
     fit = F.col("c0")
