@@ -737,7 +737,7 @@ def trend1d_baseline(s, d):
 
 @query()
 def trend1d_pairs(s, d):
-    return kernels.trend1d_pairs(fx.stack(s, d), max_refine=3).select("yi", "xi", "d", rounded(C("value"), 4).alias("value"))
+    return kernels.trend1d_pairs(fx.stack(s, d)).select("yi", "xi", "d", rounded(C("value"), 4).alias("value"))
 
 
 @query()

@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from sarstack.operators import kernels
 from sarstack.plans import fixtures as fx
 from sarstack.plans.queries import QUERIES
 from tests.oracle import connect
@@ -94,3 +95,9 @@ def test_rows_at_pi_and_in_sparse_pixels_stay(spark, at_the_edge, name, column,
 ])
 def test_every_row(spark, con, name, sql):
     assert QUERIES[name](spark, SF).count() == con.sql(fx.SQL + sql).fetchall()[0][0]
+
+
+def test_trend1d_pairs_refines_as_far_as_the_operator(spark):
+    want = kernels.trend1d_pairs(fx.stack(spark, SF), max_refine=9)
+    got = {(r.yi, r.xi, r.d): r.value for r in QUERIES["trend1d_pairs"](spark, SF).collect()}
+    assert got == {(r.yi, r.xi, r.d): round(r.value, 4) + 0.0 for r in want.collect()}
