@@ -910,7 +910,8 @@ def resample_lanczos(s, d):
     from ..operators import preprocess as pre
 
     g = fx.geometry(fx.slc(s, d))
-    t = g.select("yi", "xi", (C("yi") + 0.0).alias("py"), (C("xi") + 0.0).alias("px"))
+    # on odd columns x is fractional too: eight taps do not fit on five columns, so these are NULL
+    t = g.select("yi", "xi", (C("yi") + 0.25).alias("py"), (C("xi") + 0.5 * (C("xi") % 2)).alias("px"))
     return pre.resample(g.select("yi", "xi", C("ele").alias("value")), t, "lanczos").select("yi", "xi", rounded(C("value")).alias("value"))
 
 

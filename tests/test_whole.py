@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from sarstack.operators import kernels
+from sarstack.operators import preprocess as pre
 from sarstack.plans import fixtures as fx
 from sarstack.plans.queries import QUERIES
 from tests.oracle import connect
@@ -101,3 +102,32 @@ def test_trend1d_pairs_refines_as_far_as_the_operator(spark):
     want = kernels.trend1d_pairs(fx.stack(spark, SF), max_refine=9)
     got = {(r.yi, r.xi, r.d): r.value for r in QUERIES["trend1d_pairs"](spark, SF).collect()}
     assert got == {(r.yi, r.xi, r.d): round(r.value, 4) + 0.0 for r in want.collect()}
+
+
+def lanczos(grid: dict, py: float, px: float) -> float | None:
+    """The sum of taps over the sum of weights, None where a tap is missing."""
+    weight = lambda x: np.sinc(x) * np.sinc(x / 4) if abs(x) < 4 else 0.0
+    taps = [(y, x, weight(py - y) * weight(px - x)) for y in range(math.floor(py) - 3, math.floor(py) + 5) for x in range(math.floor(px) - 3, math.floor(px) + 5)]
+    taps = [t for t in taps if abs(t[2]) > 1e-12]
+    if any((y, x) not in grid for y, x, _ in taps):
+        return None
+    return sum(w * grid[y, x] for y, x, w in taps) / sum(w for _, _, w in taps)
+
+
+def test_resample_lanczos_interpolates(spark):
+    sf = "/root/testdata/sf0.01"
+    grid = {(r.yi, r.xi): r.ele for r in fx.geometry(fx.slc(spark, sf)).collect()}
+    got = {(r.yi, r.xi): r.value for r in QUERIES["resample_lanczos"](spark, sf).collect()}
+    want = {(y, x): lanczos(grid, y + 0.25, x + 0.5 * (x % 2)) for y, x in grid}
+    assert got == {k: None if v is None else pytest.approx(v, abs=2e-6) for k, v in want.items()}
+    assert sum(v is not None and abs(v - grid[k]) > 0.1 for k, v in got.items()) > 20
+
+
+def test_lanczos_in_both_directions(spark):
+    grid = {(y, x): float((7 * y + 3 * x * x) % 50) for y in range(14) for x in range(14)}
+    target = {(y, x): (y + 0.3, x + 0.6) for y, x in grid}
+    out = pre.resample(spark.createDataFrame([(*k, v) for k, v in grid.items()], "yi int, xi int, value double"), spark.createDataFrame([(*k, *v) for k, v in target.items()], "yi int, xi int, py double, px double"), "lanczos")
+    got = {(r.yi, r.xi): r.value for r in out.collect()}
+    want = {k: lanczos(grid, *v) for k, v in target.items()}
+    assert got == {k: None if v is None else pytest.approx(v, abs=1e-9) for k, v in want.items()}
+    assert sum(v is not None for v in got.values()) == 49
