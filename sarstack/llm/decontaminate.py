@@ -16,8 +16,11 @@ block maxima, then score.
 
 Verification: an item's five-word windows (its whole sequence if shorter) that
 the document holds in the retrieved windows' words, as a share. The item is
-leaked if the share is ``overlap`` (0.8) or more. The same share is given for
-its question (all but the last sentence) and its answer (the last sentence).
+leaked if the share is ``overlap`` (0.8) or more, of the item or of its
+question (all but the last sentence) or its answer (the last sentence) alone,
+the latter two if they have ``PART_WORDS`` words or more. Leaks of such parts
+are found by their windows, so that none depends on the item's score; where no
+passage reaches ``threshold``, the score is that of the whole document.
 
 Words are lower-cased in A-Z and lose ASCII punctuation, so case and
 punctuation do not hide a copy; a word of punctuation alone is no word.
@@ -48,6 +51,7 @@ U = np.uint64
 K1, B = 1.2, 0.75
 SHINGLE = 5
 BLOCK_ITEMS = 2
+PART_WORDS = 8
 INDEX_BYTES = 16 << 20
 _PUNCT = np.zeros(256, bool)
 _PUNCT[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
@@ -83,6 +87,15 @@ class Index:
         self.sets = self._windows(texts)
         qa = [question_answer(t) for t in texts]
         self.questions, self.answers = self._windows([q for q, _ in qa]), self._windows([a for _, a in qa])
+        self.long = list(zip([True] * len(qa), long_enough([q for q, _ in qa]), long_enough([a for _, a in qa]), strict=True))
+        # windows of long questions and answers, each with the parts that have it
+        parts = [(k, x[k]) for k in range(len(qa)) for x, long in zip((self.questions, self.answers), self.long[k][1:], strict=True) if long]
+        self.part_item, self.part_size = np.array([k for k, _ in parts], np.int64), np.array([len(x) for _, x in parts], np.int64)
+        flat = np.concatenate([x for _, x in parts]) if parts else np.empty(0, U)
+        order = np.argsort(flat, kind="stable")
+        self.part = np.repeat(np.arange(len(parts)), self.part_size)[order]
+        self.window, at = np.unique(flat[order], return_index=True)
+        self.part_at = np.append(at, len(flat))
         doc = np.repeat(np.arange(len(ids)), np.diff(first))
         self.vocab, term = np.unique(words, return_inverse=True)
         n, v = len(ids), len(self.vocab)
@@ -224,6 +237,27 @@ def item_blocks(items: DataFrame, limit: int = INDEX_BYTES) -> Iterator[Index]:
             yield Index([r.item_id for r in rows], [r.text for r in rows])
 
 
+def leaked_parts(index: Index, grams: np.ndarray, first: np.ndarray, overlap: float) -> set[tuple[int, int]]:
+    """(document, item) where the document holds ``overlap`` of the windows of a long question or answer."""
+    if not len(index.window):
+        return set()
+    at = np.searchsorted(index.window, grams)
+    hit = np.flatnonzero(index.window[np.minimum(at, len(index.window) - 1)] == grams)
+    doc = np.searchsorted(first, hit, side="right") - 1
+    held = np.unique(doc * len(index.window) + at[hit])
+    doc, at = held // len(index.window), held % len(index.window)
+    size = index.part_at[at + 1] - index.part_at[at]
+    part = index.part[np.repeat(index.part_at[at] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+    pair, n = np.unique(np.repeat(doc, size) * len(index.part_size) + part, return_counts=True)
+    doc, part = pair // len(index.part_size), pair % len(index.part_size)
+    leak = n / index.part_size[part] >= overlap
+    return set(zip(doc[leak].tolist(), index.part_item[part[leak]].tolist(), strict=True))
+
+
+def long_enough(texts: list[str]) -> list[bool]:
+    return (np.diff(bare(block_of(texts)).words()[2]) >= PART_WORDS).tolist() if texts else []
+
+
 def matches(docs: DataFrame, items: DataFrame, threshold: float = 0.5, overlap: float = 0.8) -> DataFrame:
     """Leaked items: doc_id, item_id, score and the overlaps of item, question and answer."""
     ready(docs.sparkSession)
@@ -244,18 +278,22 @@ def _matcher(handle, threshold: float, overlap: float):
         for batch in batches:
             for i, j, block in blocks(batch):
                 block = bare(block)
-                found = retrieve(index, block, threshold, stride)
-                if not found:
-                    continue
                 starts, ends, first = block.words()
-                grams, g1 = shingles(block.hashes(starts, ends), first, SHINGLE)
                 words = block.hashes(starts, ends)
+                grams, g1 = shingles(words, first, SHINGLE)
+                scores = {(d, k): score for d, k, score in retrieve(index, block, threshold, stride)}
+                for d, k in leaked_parts(index, grams, g1, overlap) - scores.keys():
+                    own = index.item == k
+                    scores[d, k] = float(index.impact[own][np.isin(index.term[own], index.terms(words[first[d] : first[d + 1]]))].sum())
+                found = [(*at, score) for at, score in sorted(scores.items())]
+                if not found:
+                    continue
                 rows = []
                 for d, k, score in found:
                     have = grams[g1[d] : g1[d + 1]]
                     short = words[first[d] : first[d + 1]]
                     shares = [_share(x[k], have) if len(x[k]) > 1 else _short(index, k, x, have, short) for x in (index.sets, index.questions, index.answers)]
-                    if shares[0] >= overlap:
+                    if any(share >= overlap and long for share, long in zip(shares, index.long[k], strict=True)):
                         rows.append((i + d, index.ids[k], score, *shares))
                 if rows:
                     at, ids, *nums = zip(*rows, strict=True)
