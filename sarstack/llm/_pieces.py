@@ -15,11 +15,11 @@ import os
 
 import numpy as np
 
-from ._bytes import Block, mix
+from ._bytes import Block, Ids
 
 U = np.uint64
 LIMIT = 250_000
-ENCODER_LIMIT = 800_000  # about 30 bytes each
+ENCODER_LIMIT = 500_000  # about 60 bytes each
 _LONG = 64  # longer pieces are not kept
 _MAY_LEAD = np.zeros(256, bool)  # bytes that may begin a white-space character of several bytes
 _MAY_LEAD[[0xC2, 0xE1, 0xE2, 0xE3]] = True
@@ -58,8 +58,9 @@ class Encoder:
     control, or a character that Unicode counts as space) no cut is made, and
     the longer piece goes to the library as it is.
 
-    Pieces are found, hashed (64 bits) and looked up for a block of texts at
-    once; only distinct pieces that the cache lacks become strings.
+    Pieces are found, hashed and looked up for a block of texts at once; only
+    distinct pieces that the cache lacks become strings. A row of the cache
+    serves a piece if their identities are equal, not their hashes alone.
     """
 
     def __init__(self, name: str, limit: int = ENCODER_LIMIT):
@@ -71,6 +72,7 @@ class Encoder:
         self.new_keys, self.new_rows = np.empty(0, U), np.empty(0, np.int64)  # the same, not merged yet
         self.ids = np.empty(1 << 20, self.width)
         self.at, self.n = np.zeros(1 << 18, np.int64), 0  # row r holds ids[at[r]:at[r + 1]]
+        self.exact = np.zeros((2, 1 << 18), U)  # each row's piece: its identity
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.t.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.width)
@@ -90,16 +92,19 @@ class Encoder:
             out[i] = np.array(e.ids, self.width)
         return out
 
-    def _add(self, found: list[np.ndarray]) -> np.ndarray:
+    def _add(self, found: list[np.ndarray], exact: np.ndarray) -> np.ndarray:
         """Append rows; returns their numbers."""
         size = np.array([len(x) for x in found], np.int64)
         end = self.at[self.n] + int(size.sum())
         if end > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty(max(end, len(self.ids)), self.width)])
         if self.n + len(found) + 1 > len(self.at):
-            self.at = np.concatenate([self.at, np.zeros(max(len(found), len(self.at)), np.int64)])
+            more = max(len(found), len(self.at))
+            self.at = np.concatenate([self.at, np.zeros(more, np.int64)])
+            self.exact = np.concatenate([self.exact, np.zeros((2, more), U)], axis=1)
         self.ids[self.at[self.n] : end] = np.concatenate(found)
         self.at[self.n + 1 : self.n + 1 + len(found)] = self.at[self.n] + np.cumsum(size)
+        self.exact[:, self.n : self.n + len(found)] = exact
         self.n += len(found)
         return np.arange(self.n - len(found), self.n)
 
@@ -133,15 +138,17 @@ class Encoder:
         if not len(starts):
             return np.empty(0, self.width), np.zeros(block.n + 1, np.int64)
         ends = np.append(starts[1:], len(block.buf))
-        h = mix(block.hashes(starts, ends, lower=False) + (ends - starts).astype(U))
-        uniq, pick, inv = np.unique(h, return_index=True, return_inverse=True)
+        pieces = Ids(block.buf, starts, ends)
+        inv, pick = pieces.codes()
+        uniq, exact = pieces.hashes()[pick], np.stack([pieces.lo[pick], pieces.hi[pick]])
         row = self._find(self.keys, self.rows, uniq)
         row = np.where(row < 0, self._find(self.new_keys, self.new_rows, uniq), row)
+        row[(self.exact[:, row] != exact).any(0)] = -1
         miss = np.flatnonzero(row < 0)
         kept = self.n
         if len(miss):
             raw = block.buf.tobytes()
-            row[miss] = self._add(self._learn([raw[starts[i] : ends[i]].decode() for i in pick[miss].tolist()]))
+            row[miss] = self._add(self._learn([raw[starts[i] : ends[i]].decode() for i in pick[miss].tolist()]), exact[:, miss])
         size = (self.at[row + 1] - self.at[row])[inv]
         to = np.concatenate([[0], np.cumsum(size)])
         out = self.ids[np.repeat(self.at[row][inv] - to[:-1], size) + np.arange(to[-1])]
@@ -234,7 +241,33 @@ def counter(name: str):
     import json
 
     with open(tokenizer_file(name), encoding="utf-8") as f:
-        spec = json.load(f)
-    pre = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
-    drops = pre[0].get("type") == "Split" and pre[0].get("behavior") == "Removed" and pre[0].get("invert") and not spec.get("post_processor")
-    return Counter(name) if drops else WholeCounter(name)
+        return Counter(name) if splits_at_spaces(json.load(f)) else WholeCounter(name)
+
+
+#: Patterns of which no match holds white space.
+_NO_SPACE_PATTERNS = (r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",)
+#: Normalizers that act alike on a text and on its parts between spaces and newlines.
+_BY_PART = {"NFC", "NFD", "NFKC", "NFKD", "Lowercase", "StripAccents", "Nmt"}
+
+
+def splits_at_spaces(spec: dict) -> bool:
+    """Whether a tokenizer's counts are the sums over the parts between spaces and newlines.
+
+    So it is where the first pre-tokenizer keeps only matches and none of them
+    holds white space, the normalizer works on each part alone (a replacement
+    of white space by a space does), no added token has white space or needs a
+    word's edge, and nothing is added after.
+    """
+    norm = spec.get("normalizer")
+    steps = norm["normalizers"] if norm and norm["type"] == "Sequence" else [norm] if norm else []
+    spaces = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+    pre = spec.get("pre_tokenizer") or {}
+    first = (pre.get("pretokenizers") or [pre])[0]
+    return (
+        all(x["type"] in _BY_PART or x == spaces for x in steps)
+        and first.get("type") == "Split"
+        and first.get("behavior") == "Removed"
+        and bool(first.get("invert"))
+        and first["pattern"].get("Regex") in _NO_SPACE_PATTERNS
+        and not any(t["single_word"] or any(c.isspace() for c in t["content"]) for t in spec.get("added_tokens", []))
+    )

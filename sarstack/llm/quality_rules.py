@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..workers import ready
-from ._bytes import Block, blocks, repeated, shingles
+from ._bytes import Block, Ids, blocks, owner, repeated, windows
 from ._store import written
 
 SYMBOLS = np.zeros(256, bool)
@@ -56,21 +56,19 @@ def mask(policy: str | tuple[str, ...]) -> int:
 
 def measure(block: Block) -> dict[str, np.ndarray]:
     """All measurements of each document of a block."""
-    starts, ends, first = block.words()
-    words = block.hashes(starts, ends, lower=False)
+    ids, first = block.word_ids(lower=False)
+    code, _ = ids.codes()
     per = np.diff(first)
-    w3, f3 = shingles(words, first, 3)
-    again, _ = repeated(w3, f3)
-    again &= np.repeat(per >= 3, np.diff(f3))
-    covered = np.zeros(len(words) + 3, bool)
-    at = np.repeat(first[:-1] - f3[:-1], np.diff(f3)) + np.arange(len(w3))
+    w3, at = windows(code, first, 3)
+    again, _ = repeated(w3, np.searchsorted(first, at, side="right") - 1)
+    covered = np.zeros(len(code) + 3, bool)
     hit = at[again]
     for j in range(3):
         covered[hit + j] = True
     c = np.concatenate([[0], np.cumsum(covered)])
     ls, le, lf = block.lines()
-    held = np.searchsorted(starts, le) > np.searchsorted(starts, ls)  # the line holds a word
-    _, before = repeated(block.hashes(ls, le, lower=False), lf)
+    held = np.searchsorted(ids.starts, le) > np.searchsorted(ids.starts, ls)  # the line holds a word
+    _, before = repeated(Ids(block.buf, ls, le).codes()[0], owner(lf))
     dup = np.concatenate([[0], np.cumsum(before & held)])
     return {
         "n_words": per,
