@@ -12,7 +12,8 @@ driver, and only the flat arrays go out.
 Defined cases: null and empty texts have all statistics zero and are scored
 like others. Null labels are not learnt. Without labels of both kinds every
 score is the share of label 1, or 0.5 without labels. Repeated rows are scored
-one by one. Extra columns pass through ``classify``, except ``score``,
+one by one; of the texts of one labelled id the least is learnt, and the lesser
+of two labels. Extra columns pass through ``classify``, except ``score``,
 ``predicted`` and names that begin with ``__``.
 """
 
@@ -29,6 +30,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..workers import ready
 from ._bytes import Block, blocks, distinct
+from ._store import col
 from .quality_rules import measure
 
 TRAIN_ROWS = 20_000
@@ -52,8 +54,7 @@ _HIGH[128:] = True
 def statistics(block: Block) -> np.ndarray:
     """One row of FEATURES for each document of a block."""
     m = measure(block)
-    starts, ends, first = block.words()
-    words = block.hashes(starts, ends, lower=True)
+    words, first = block.word_hashes()
     _, own = distinct(words, first)
     same = np.zeros(len(words) + 1, np.int64)
     if len(words) > 1:
@@ -156,7 +157,8 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, labe
     sample = labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isin(0, 1)).groupBy("doc_id").agg(F.min(label_col).cast("int").alias("y"))
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")  # train_rows rows of two numbers
-    rows = sorted((r.y, tuple(r.x)) for r in _features(texts).limit(2 * train_rows).collect())
+    texts = texts.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    rows = sorted((r.y, tuple(r.x)) for r in _features(texts).collect())  # train_rows at most
     y = np.array([r[0] for r in rows], float)
     return fit(np.array([r[1] for r in rows], float).reshape(len(rows), len(FEATURES)), y)
 
@@ -165,16 +167,16 @@ def classify(docs: DataFrame, trees: Trees) -> DataFrame:
     """``docs`` with ``score`` and ``predicted``."""
     ready(docs.sparkSession)
     keep = [c for c in docs.columns if c not in ("score", "predicted") and not c.startswith("__")]
-    src = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias("__text"))
+    src = docs.select(*map(col, keep), F.col("text").cast("string")).toDF(*(plain := [f"c{i}" for i in range(len(keep))]), "__text")
     schema = StructType([*src.schema.fields[:-1], StructField("score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, block in blocks(batch, "__text"):
                 part = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(trees.score(statistics(block)))], names=[*keep, "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(trees.score(statistics(block)))], names=[*plain, "score"])
 
-    return src.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return src.mapInArrow(run, schema).toDF(*keep, "score").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def held_out(doc_id: str = "doc_id"):
