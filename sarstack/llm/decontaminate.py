@@ -15,37 +15,42 @@ go through WAND over the surviving blocks: pivot by term maxima, check by
 block maxima, then score.
 
 Verification: an item's five-word windows (its whole sequence if shorter) that
-the document holds in the retrieved windows' words, as a share. The item is
-leaked if the share is ``overlap`` (0.8) or more, of the item or of its
-question (all but the last sentence) or its answer (the last sentence) alone,
-the latter two if they have ``PART_WORDS`` words or more. Leaks of such parts
-are found by their windows, so that none depends on the item's score; where no
-passage reaches ``threshold``, the score is that of the whole document.
+the document holds, as a share. The item is leaked if the share is ``overlap``
+(0.8) or more, of the item or of its question (all but the last sentence) or its
+answer (the last sentence) alone, the latter two if they have ``PART_WORDS``
+words or more. Leaks of such parts are found by their windows, so that none
+depends on the item's score; where no passage reaches ``threshold``, the score
+is that of the whole document.
 
 Words are lower-cased in A-Z and lose ASCII punctuation, so case and
 punctuation do not hide a copy; a word of punctuation alone is no word.
 
-The index goes out with the code. Its texts are bounded by ``INDEX_BYTES``;
-more items are handled in blocks of that size one after the other, each by the
-same steps, with document frequencies of its own block.
+The index goes out with the code, in shards of at most ``INDEX_BYTES`` of item
+texts (a single longer item is a shard of its own), one after the other. Number
+of items, document frequencies, mean length and the longest item are counted
+over all items first and are the same for every shard: how items are dealt to
+shards changes neither scores nor passages.
 
 Defined cases: null or empty texts and items match nothing. Items with equal
 texts match alike, each under its own id; null item ids are kept. Repeated
-rows of documents match one by one. Empty tables give an empty result.
+rows of items count once, repeated rows of documents match one by one. Empty tables give an empty result. Other
+columns of documents or items may have any names; ``decontaminate`` keeps them.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..workers import ready
-from ._bytes import Block, blocks, shingles, unique
+from ._bytes import Block, blocks, distinct, shingles, unique
+from ._store import written
 
 U = np.uint64
 K1, B = 1.2, 0.75
@@ -75,15 +80,28 @@ def question_answer(text: str) -> tuple[str, str]:
     return (text[: text.rstrip().rfind(parts[-1])], parts[-1]) if len(parts) > 1 else (text, text)
 
 
+@dataclass
+class Stats:
+    """Figures of all items; ``terms`` (ascending) with ``df`` hold a shard's words at least."""
+
+    n: int
+    mean: float
+    longest: int
+    terms: np.ndarray
+    df: np.ndarray
+
+
 class Index:
-    """BM25 postings of the items, flat: built once on the driver, read-only after."""
+    """BM25 postings of a shard's items, flat: built once on the driver, read-only after.
+
+    ``stats`` are the figures of all items; without them these are all.
+    """
 
-    def __init__(self, ids: list[int | None], texts: list[str]):
+    def __init__(self, ids: list[int | None], texts: list[str], stats: Stats | None = None):
         self.ids = ids
         block = bare(block_of(texts))
-        starts, ends, first = block.words()
-        words = block.hashes(starts, ends)
-        self.longest = int(np.diff(first).max(initial=0))
+        words, first = block.word_hashes()
+        self.longest = stats.longest if stats else int(np.diff(first).max(initial=0))
         self.sets = self._windows(texts)
         qa = [question_answer(t) for t in texts]
         self.questions, self.answers = self._windows([q for q, _ in qa]), self._windows([a for _, a in qa])
@@ -102,9 +120,12 @@ class Index:
         pair, tf = np.unique(term.astype(np.int64) * max(n, 1) + doc, return_counts=True)
         self.term, self.item = pair // max(n, 1), pair % max(n, 1)  # by term, then item
         df = np.bincount(self.term, minlength=v)
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
         length = np.diff(first)
-        norm = K1 * (1 - B + B * length / max(length.mean() if n else 1, 1e-9))
+        if stats:
+            df = stats.df[np.searchsorted(stats.terms, self.vocab)]
+        total, mean = (stats.n, stats.mean) if stats else (n, length.mean() if n else 1)
+        idf = np.log1p((total - df + 0.5) / (df + 0.5))
+        norm = K1 * (1 - B + B * length / max(mean, 1e-9))
         impact = idf[self.term] * tf * (K1 + 1) / (tf + norm[self.item])
         own = np.bincount(self.item, impact, n)
         self.impact = impact / own[self.item] if len(impact) else impact
@@ -121,8 +142,8 @@ class Index:
     @staticmethod
     def _windows(texts: list[str]) -> list[np.ndarray]:
         block = bare(block_of(texts))
-        starts, ends, first = block.words()
-        w, f = shingles(block.hashes(starts, ends), first, SHINGLE)
+        words, first = block.word_hashes()
+        w, f = shingles(words, first, SHINGLE)
         return [np.unique(w[a:z]) for a, z in zip(f[:-1], f[1:], strict=True)]
 
     def terms(self, words: np.ndarray) -> np.ndarray:
@@ -181,10 +202,9 @@ class Index:
         return out
 
 
-def retrieve(index: Index, block: Block, threshold: float, stride: int) -> list[tuple[int, int, float]]:
+def retrieve(index: Index, block: Block, words: np.ndarray, first: np.ndarray, threshold: float, stride: int) -> list[tuple[int, int, float]]:
     """(document, item, best score) of all passages of a block's documents."""
-    starts, ends, first = block.words()
-    term = index.terms(block.hashes(starts, ends))
+    term = index.terms(words)
     per = np.diff(first)
     segs = -(-per // stride)
     seg_first = np.concatenate([[0], np.cumsum(segs)])
@@ -220,21 +240,48 @@ def _share(want: np.ndarray, have: np.ndarray) -> float:
     return float(np.isin(want, have).mean()) if len(want) else 0.0
 
 
-def item_blocks(items: DataFrame, limit: int = INDEX_BYTES) -> Iterator[Index]:
-    """Indexes over runs of items of at most ``limit`` bytes of text each."""
-    items = items.select("item_id", F.col("text").cast("string").alias("text")).where("text is not null and text <> ''")
-    size = F.octet_length("text")
-    if (items.agg(F.sum(size)).first()[0] or 0) <= limit:
-        runs = [items]
-    else:  # few and short rows by nature: their running size passes through one task
-        order = Window.orderBy("item_id", "text").rowsBetween(Window.unboundedPreceding, -1)
-        cut = items.withColumn("run", F.floor(F.coalesce(F.sum(size).over(order), F.lit(0)) / limit))
-        runs = (cut.where(F.col("run") == i) for i in range(int(cut.agg(F.max("run")).first()[0]) + 1))
-    for part in runs:
-        rows = part.select("item_id", "text").collect()
+def item_words(items: DataFrame) -> DataFrame:
+    """Number of words of each item of ``text``, and its distinct words' hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, block in blocks(batch):
+                words, first = bare(block).word_hashes()
+                own, at = distinct(words, first)
+                yield pa.RecordBatch.from_arrays([pa.array(np.diff(first)), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(own.view(np.int64)))], names=["n", "words"])
+
+    return items.select("text").mapInArrow(run, "n bigint, words array<bigint>")
+
+
+def item_shards(items: DataFrame, limit: int = INDEX_BYTES) -> Iterator[Index]:
+    """Indexes over all items, each of at most ``limit`` bytes of text or one item."""
+    items = written(items.select("item_id", F.col("text").cast("string").alias("text")).where("text is not null and text <> ''").distinct(), "items")
+    size = F.octet_length("text").cast("long")
+    total = items.agg(F.sum(size)).first()[0]
+    if not total:
+        return
+    parts = 1
+    while True:  # a hash deals items out evenly but for chance: more parts until each fits
+        part = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
+        worst = items.groupBy(part).agg(F.sum(size).alias("b"), F.min(F.struct("item_id", "text")).alias("lo"), F.max(F.struct("item_id", "text")).alias("hi")).where((F.col("b") > limit) & (F.col("lo") < F.col("hi")))
+        if not worst.limit(1).count():
+            break
+        parts *= 2
+    words = written(item_words(items), "item-words")
+    row = words.agg(F.count("*"), F.avg("n"), F.max("n")).first()
+    df = words.select(F.explode("words").alias("t")).groupBy("t").agg(F.count("*").alias("df"))
+    if parts > 1:
+        df = written(df, "item-terms")
+    for p in range(parts):
+        own = items.where(part == p)
+        rows = own.collect()  # ``limit`` bytes or one item
         rows.sort(key=lambda r: (r.item_id is None, r.item_id, r.text))
         if rows:
-            yield Index([r.item_id for r in rows], [r.text for r in rows])
+            here = df if parts == 1 else df.join(item_words(own).select(F.explode("words").alias("t")).distinct(), "t")
+            got = here.toArrow()  # the shard's words
+            terms = got.column("t").to_numpy().astype(np.int64).view(U)
+            order = np.argsort(terms)
+            yield Index([r.item_id for r in rows], [r.text for r in rows], Stats(row[0], float(row[1]), row[2], terms[order], got.column("df").to_numpy()[order]))
 
 
 def leaked_parts(index: Index, grams: np.ndarray, first: np.ndarray, overlap: float) -> set[tuple[int, int]]:
@@ -258,14 +305,14 @@ def long_enough(texts: list[str]) -> list[bool]:
     return (np.diff(bare(block_of(texts)).words()[2]) >= PART_WORDS).tolist() if texts else []
 
 
-def matches(docs: DataFrame, items: DataFrame, threshold: float = 0.5, overlap: float = 0.8) -> DataFrame:
+def matches(docs: DataFrame, items: DataFrame, threshold: float = 0.5, overlap: float = 0.8, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """Leaked items: doc_id, item_id, score and the overlaps of item, question and answer."""
     ready(docs.sparkSession)
     src = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = src.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, item_id bigint, score double, item_overlap double, question_overlap double, answer_overlap double"
     out = docs.sparkSession.createDataFrame([], schema)
-    for index in item_blocks(items):
+    for index in item_shards(items, index_bytes):
         handle = docs.sparkSession.sparkContext.broadcast(index)  # bounded by INDEX_BYTES of text
         out = out.unionByName(src.mapInArrow(_matcher(handle, threshold, overlap), schema))
     return out
@@ -278,10 +325,9 @@ def _matcher(handle, threshold: float, overlap: float):
         for batch in batches:
             for i, j, block in blocks(batch):
                 block = bare(block)
-                starts, ends, first = block.words()
-                words = block.hashes(starts, ends)
+                words, first = block.word_hashes()
                 grams, g1 = shingles(words, first, SHINGLE)
-                scores = {(d, k): score for d, k, score in retrieve(index, block, threshold, stride)}
+                scores = {(d, k): score for d, k, score in retrieve(index, block, words, first, threshold, stride)}
                 for d, k in leaked_parts(index, grams, g1, overlap) - scores.keys():
                     own = index.item == k
                     scores[d, k] = float(index.impact[own][np.isin(index.term[own], index.terms(words[first[d] : first[d + 1]]))].sum())
@@ -324,8 +370,8 @@ def _windows_of(words: np.ndarray, n: int) -> tuple[np.ndarray, None]:
 
 def decontaminate(docs: DataFrame, items: DataFrame, **kw) -> DataFrame:
     """``docs`` without those that hold a leaked item."""
-    bad = matches(docs.select("doc_id", "text"), items, **kw).select("doc_id").distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+    bad = matches(docs.select("doc_id", "text"), items, **kw).select(F.col("doc_id").alias("__bad")).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__bad")), "left_anti")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
