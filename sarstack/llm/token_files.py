@@ -28,7 +28,6 @@ texts. Extra columns are ignored.
 
 from __future__ import annotations
 
-import io
 import struct
 import zlib
 from bisect import bisect_right
@@ -190,11 +189,15 @@ class Reader:
             yield from self.block(i)
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, uri: str, end_id: int = 0, partitions: int | None = None, shard_bytes: int = 256 << 20, block_bytes: int = 1 << 16) -> DataFrame:
-    """Write all of ``docs`` under ``uri``; returns the manifest, one row a shard."""
+def write_tokens(docs: DataFrame, tokenizer: str, uri: str, end_id: int = 0, partitions: int | None = None, shard_bytes: int = 256 << 20, block_bytes: int = 1 << 16, task_bytes: int = 256 << 20) -> DataFrame:
+    """Write all of ``docs`` under ``uri``; returns the manifest, one row a shard.
+
+    There are as many tasks as the session has shuffle partitions, or more, so
+    that each has about ``task_bytes`` of text; ``partitions`` overrides both.
+    """
     spark = docs.sparkSession
     src = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(src.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0) // task_bytes))
     ranged = src.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,7 +288,7 @@ def lookup(manifest: DataFrame, uri: str, doc_id: int | None) -> list[np.ndarray
     for row in manifest.where((F.col("first_key") <= F.lit(key)) & (F.col("last_key") >= F.lit(key))).orderBy("part", "seq").collect():
         fs, root = pafs.FileSystem.from_uri(uri)
         with fs.open_input_file(f"{root}/{row.shard}") as f:
-            out += Reader(io.BytesIO(f.read()), row.n_bytes).get(key)
+            out += Reader(f, row.n_bytes).get(key)  # footer, index, filter and one block or two
     return out
 
 
