@@ -6,10 +6,15 @@ distinct contents that it lacks are encoded, and those are appended.
 
 The content digest is the SHA-256 of the UTF-8 bytes; the normalised content
 is the text itself with null as empty, since any stronger folding could change
-what a tokenizer yields. One row of each distinct missing digest is encoded:
-the rows are dealt out by digest and a hash of the row, so that thousands of
+what a tokenizer yields. One row of each distinct missing digest is encoded: the
+one of the least id. Texts are dealt out by digest and id, so that thousands of
 copies of one text neither meet in one task with their texts nor are encoded
-twice.
+twice. Where counts go back to the rows, the few digests with a thousandth of
+all rows or more are sent to them; others are joined.
+
+The query op10 counts with a cache of its own that starts empty, so that its
+figures are those of encoding everything; ``count_tokens`` takes any cache, and
+what it holds already is not encoded again.
 
 Defined cases: null and empty texts have 0 bytes and 0 tokens. Repeated rows
 and null ids are returned as they came. A cache that does not exist is empty.
@@ -26,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._pieces import counter, version
-from ._store import fresh_dir, written
+from ._store import fresh_dir, join_hot, written
 
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens bigint"
 
@@ -48,7 +53,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str) -> DataFrame:
     ver = version(tokenizer)
     src = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
     rows = written(src.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes")), "digests")
-    wanted = rows.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).alias("x")).select("digest", F.col("x.doc_id").alias("doc_id"))
+    wanted = rows.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).alias("x"), F.count("*").alias("n_rows"))
+    wanted = written(wanted.select("digest", F.col("x.doc_id").alias("doc_id"), "n_rows"), "wanted")
     known = read_cache(spark, cache, ver)
     missing = wanted.join(known, "digest", "left_anti")
 
@@ -64,7 +70,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str) -> DataFrame:
     one = src.join(missing.hint("merge"), (src.digest == missing.digest) & src.doc_id.eqNullSafe(missing.doc_id), "left_semi")
     new = one.select("digest", "text").mapInArrow(run, "digest binary, n_tokens bigint")
     new.select(F.lit(ver).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache)
-    return rows.join(read_cache(spark, cache, ver), "digest", "left").select("doc_id", "n_bytes", "n_tokens")
+    counts = wanted.select("digest", "n_rows").join(read_cache(spark, cache, ver), "digest")
+    return join_hot(rows, written(counts, "counts"), ["digest"], "n_rows").select("doc_id", "n_bytes", "n_tokens")
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str, tokenizer: str = "word_bpe_49k.json", limit: int = 2048) -> DataFrame:
