@@ -23,5 +23,5 @@ def ready(spark: SparkSession) -> None:
     if ROOT not in path:
         env["PYTHONPATH"] = ":".join([ROOT, *path])
     rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(rows) == "10000":
+    if not spark._jsparkSession.sessionState().conf().contains(rows):  # a value that was set stays, be it the default's
         spark.conf.set(rows, str(ARROW_ROWS))
