@@ -11,13 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sarstack.llm import decontaminate, mixing, near_dedup, quality_model, token_files
-from sarstack.llm._store import written
+from sarstack.llm._store import columns, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier (2) does not reject."""
     trees = quality_model.fitted(spark, docs, sf_dir)
-    return quality_model.classify(docs, trees).where(F.col("predicted") == 1).select(*docs.columns)
+    return quality_model.classify(docs, trees).where(F.col("predicted") == 1).select(*columns(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
