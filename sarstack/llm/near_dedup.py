@@ -9,37 +9,49 @@ classes.
 
 Steps
 1. Each document becomes its set's size, a 128-bit digest of the set, and the
-   2 m group keys. Documents with equal sets form a class (similarity 1) with
-   its smallest id as representative: thousands of exact copies are one row
-   from here on.
+   2 m group keys. Documents with equal sets form a class (similarity 1) with a
+   number of its own: thousands of exact copies are one row from here on.
 2. Only groups that two classes share can be part of a shared table key, so
-   table keys are formed from shared groups only.
-3. In a bucket (table key) the members outside the component that most of it
-   is in are its odd ones. Where they are at most ODD, each is compared with
-   all other members: a bounded number of pairs for each member. Otherwise the
-   smallest set is the leader, and members are compared with their leader, not
-   with one another; large buckets that share members count as one.
+   table keys are formed from shared groups only. Buckets (table keys) with the
+   same members count once: two near copies share a hundred keys but are
+   compared once.
+3. In a bucket the members outside the component that most of it is in are its
+   odd ones. Where they are at most ODD, each is compared with all other
+   members: a bounded number of pairs for each member. Otherwise the smallest
+   set is the leader, and members are compared with their leader, not with one
+   another.
 4. Two members of a large bucket that differ in component must still be
-   compared if they can link. At least one of them, y, missed its leader l, and l is no larger than
-   either; so what x and y share cannot lie within l: a link (x, y) needs a
-   common shingle outside l. By the prefix principle it is enough to look at
-   the first p shingles of y without l in one order of all shingles,
-   p = |y| - need + 1, about a ninth of the set. The order is rarest first, as
-   a bounded sample of the texts has it; the sample only decides how much work
-   is left, any order gives the same links. Members of a leader that share such a shingle form new,
-   smaller buckets, which go through steps 3 and 4 again. Leaders only grow, so
-   this ends; no candidate is capped and no pair list is formed.
+   compared if they can link. At least one of them, y, missed its leader l, and
+   l is no larger than either; so what x and y share cannot lie within l: a link
+   (x, y) needs a common shingle outside l. By the prefix principle it is enough
+   to look at the first p shingles of y without l in one order of all shingles,
+   p = |y| - need + 1, about a ninth of the set. The order is rarest first, as a
+   bounded sample of the texts has it; the sample only decides how much work is
+   left, any order gives the same links. Members of a leader that share such a
+   shingle form new, smaller buckets, which go through steps 3 and 4 again. A
+   new leader is larger than the one before, so this ends; no candidate is
+   capped and no pair list is formed.
 5. Comparisons are exact integers (100 * common >= 80 * union) on 64-bit
-   shingle hashes of the texts involved, which are computed once.
-6. Components by minimum labels with pointer jumping, a written table each round.
+   shingle hashes of the texts involved, which are computed once. Pairs that
+   BITS parity bits of each set prove to differ too much are not compared:
+   every shingle flips one bit, so two sets differ in at least as many shingles
+   as their bits do. A leader's
+   set goes to SALTS parts of its members, and a bucket's odd members to one
+   part of it for each SPLIT members, so no key is one task's work.
+6. Components by minimum labels with contraction, a written table each round.
+   A written table is deleted when its successors are written.
 
 Recall of the candidate search at similarity s, with g hashes a group:
 (1 - (1 - s**g)**m)**2, i.e. 0.9988 at 0.8 and 0.9999993 at 0.9 for g = 4, m = 14.
+It is also measured against brute force (README, ``tests/llm``).
 
 Defined cases: null texts and texts without words have an empty set and link
 with nothing. Texts shorter than a shingle are one shingle. Rows with a null
-id are given back with n_shingles, no component and kept true. Repeated rows
-(same id) belong to their id. An empty table gives an empty result.
+id are given back with n_shingles, no component and kept true. Rows of one id
+belong together: if their texts differ, the classes of all of them are linked.
+``deduplicate`` keeps one row of each component, the one with the least text
+where its id is repeated, and every row with a null id. Other columns may have
+any names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -53,12 +65,16 @@ from pyspark.sql import functions as F
 
 from ..workers import ready
 from ._bytes import MULT, Block, blocks, distinct, mix, owner, shingles
-from ._store import written
+from ._store import Scratch, columns
 
 U = np.uint64
 GROUPS, PER_GROUP = 14, 4
 #: Odd members of a bucket up to which they are compared with all of it.
 ODD = 36
+#: Parts into which a leader's members are dealt; members of a bucket that one part of it holds about.
+SALTS, SPLIT = 64, 1_024
+#: Parity bits of a set (a multiple of 64).
+BITS = 1024
 #: Texts whose shingles are counted for the order, and shingles that the order ranks.
 ORDER_SAMPLE, ORDER_SHINGLES = 16_000, 400_000
 _SEEDS = mix(np.arange(1, 2 * GROUPS * PER_GROUP + 1, dtype=U) * U(0x9E3779B97F4A7C15))
@@ -66,8 +82,8 @@ _SEEDS = mix(np.arange(1, 2 * GROUPS * PER_GROUP + 1, dtype=U) * U(0x9E3779B97F4
 
 def shingle_sets(block: Block, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Each document's distinct shingle hashes, ascending, and first indices."""
-    starts, ends, first = block.words()
-    w, f = shingles(block.hashes(starts, ends), first, k)
+    words, first = block.word_hashes()
+    w, f = shingles(words, first, k)
     return distinct(w, f)
 
 
@@ -90,6 +106,12 @@ def group_keys(sets: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
+def digests(sets: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """128 bits of each document's set, as two signed words."""
+    sums = [np.concatenate([np.zeros(1, U), np.cumsum(mix(sets * MULT[60 - s]))]) for s in range(2)]
+    return [(c[first[1:]] - c[first[:-1]]).view(np.int64) for c in sums]
+
+
 def sketches(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, n_shingles, digest (two longs) and group keys of every row."""
 
@@ -97,94 +119,110 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             for i, j, block in blocks(batch):
                 sets, first = shingle_sets(block, k)
-                size = np.diff(first)
-                sums = [np.concatenate([np.zeros(1, U), np.cumsum(mix(sets * MULT[60 - s]))]) for s in range(2)]
-                a, b = ((c[first[1:]] - c[first[:-1]]).view(np.int64) for c in sums)
                 keys = group_keys(sets, first)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(block.n + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(size.astype(np.int64)), pa.array(a), pa.array(b), lists], names=["doc_id", "n", "a", "b", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(np.diff(first).astype(np.int64)), *map(pa.array, digests(sets, first)), lists], names=["doc_id", "n", "a", "b", "keys"])
 
     ready(docs.sparkSession)
-    src = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
-    return src.mapInArrow(run, "doc_id bigint, n bigint, a bigint, b bigint, keys array<bigint>")
+    return docs.mapInArrow(run, "doc_id bigint, n bigint, a bigint, b bigint, keys array<bigint>")
 
 
-def common_shingles(docs: DataFrame, k: int, ids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def common_shingles(texts: DataFrame, k: int, ids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Shingles met twice or more in ORDER_SAMPLE texts, ascending, and their counts (at most ORDER_SHINGLES)."""
-    some = F.broadcast(ids.orderBy(F.xxhash64("id"), "id").limit(ORDER_SAMPLE))  # ORDER_SAMPLE ids
-    own = full_sets(docs.join(some, docs.doc_id == some.id, "left_semi"), k)
+    some = F.broadcast(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(ORDER_SAMPLE))  # ORDER_SAMPLE ids
+    own = full_sets(texts.join(some, "doc_id", "left_semi"), k)
     top = own.select(F.explode("s").alias("s")).groupBy("s").agg(F.count("*").alias("c")).where("c > 1").orderBy(F.desc("c"), "s").limit(ORDER_SHINGLES).toArrow()
     known = top.column("s").to_numpy().astype(np.int64).view(U)
     at = np.argsort(known)
     return known[at], top.column("c").to_numpy().astype(np.int64)[at]
 
 
-def full_sets(docs: DataFrame, k: int, order: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
-    """id and its distinct shingle hashes, the rarest first by ``order``."""
-    send = docs.sparkSession.sparkContext.broadcast(order) if order is not None and len(order[0]) else None  # ORDER_SHINGLES pairs
+def parities(sets: np.ndarray, first: np.ndarray) -> pa.Array:
+    """BITS bits of each document's set: how often, modulo 2, a shingle falls on each."""
+    n = len(first) - 1
+    at = owner(first) * BITS + (sets & U(BITS - 1)).astype(np.int64)
+    odd = (np.bincount(at, minlength=n * BITS) & 1).astype(bool)
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * (BITS // 64)), pa.array(np.packbits(odd).view(np.int64)))
+
+
+def full_sets(texts: DataFrame, k: int, order: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """Digest, parities and distinct shingle hashes of each text, the rarest first by ``order``."""
+    send = texts.sparkSession.sparkContext.broadcast(order) if order is not None and len(order[0]) else None  # ORDER_SHINGLES pairs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, block in blocks(batch):
+            for _, _, block in blocks(batch):
                 sets, first = shingle_sets(block, k)
+                a, b = digests(sets, first)
+                bits = parities(sets, first)
                 if send is not None:
                     known, counts = send.value
                     at = np.minimum(np.searchsorted(known, sets), len(known) - 1)
                     seen = np.where(known[at] == sets, counts[at], 0)
                     sets = sets[np.lexsort((sets, seen, owner(first)))]
                 lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(sets.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), lists], names=["id", "s"])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), bits, lists], names=["a", "b", "bits", "s"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "id bigint, s array<bigint>")
+    return texts.select("text").mapInArrow(run, "a bigint, b bigint, bits array<bigint>, s array<bigint>")
 
 
-def led(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
-    """(leader, id, big) to compare, from rows of (keys, n, id, label, before).
+def led(scratch: Scratch, rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
+    """(leader, id, big) to compare, from rows of (keys, n, id), or of (keys, n, id, label, odd).
 
     Buckets with few odd members give the pairs of those with all others, the
     smaller set first, that can reach the similarity and differ in label; the
-    rest give each member with its leader. ``before`` holds the keys under which
-    a member was met already: a pair that shares one of them is left to it.
+    rest give each member with its leader. Without a label every member is a
+    component of its own. Buckets without a row marked ``odd`` are left out,
+    and of those with the same members one is taken.
     """
-    by_label = rows.groupBy(*keys, "label").agg(F.count("*").alias("c"), F.min(F.struct("n", "id")).alias("l"))
-    per = by_label.groupBy(*keys).agg(F.min("l").alias("l"), F.sum("c").alias("c"), F.max(F.struct("c", "label")).alias("main")).where("c > main.c")
-    members = rows.join(per.select(*keys, F.col("l.id").alias("leader"), F.col("main.label").alias("main"), (F.col("c") - F.col("main.c")).alias("n_odd")), keys)
-    all_ = written(members, "members")
-    big = one_leader(all_.where(F.col("n_odd") > ODD).select("leader", "id", "n"))
-    few = all_.where(F.col("n_odd") <= ODD)
-    odd = few.where(F.col("label") != F.col("main")).groupBy(*keys).agg(F.collect_list(F.struct("n", "id", "label", "before")).alias("odd"))
-    fits = lambda y: (y["label"] != F.col("label")) & (F.least(y["n"], F.col("n")) * 100 >= F.greatest(y["n"], F.col("n")) * percent) & ~F.arrays_overlap(y["before"], F.col("before"))
+    marks = [F.bit_xor(F.xxhash64("id", F.lit(i))).alias(f"h{i}") for i in range(2)]  # 128 bits of a set of members
+    if "label" in rows.columns:
+        by_label = rows.groupBy(*keys, "label").agg(F.count("*").alias("c"), F.min(F.struct("n", "id")).alias("l"), F.max("odd").alias("odd"), *marks)
+        per = by_label.groupBy(*keys).agg(F.sum("c").alias("size"), F.min("l").alias("l"), F.max(F.struct("c", "label")).alias("m"), F.max("odd").alias("odd"), F.bit_xor("h0").alias("h0"), F.bit_xor("h1").alias("h1"))
+        per = per.where("odd and size > m.c").select(*keys, "size", "l", F.col("m.label").alias("main"), (F.col("size") - F.col("m.c")).alias("n_odd"), "h0", "h1")
+    else:
+        rows = rows.withColumn("label", F.col("id"))
+        per = rows.groupBy(*keys).agg(F.count("*").alias("size"), F.min(F.struct("n", "id")).alias("l"), *marks).where("size > 1")
+        per = per.select(*keys, "size", "l", F.col("l.id").alias("main"), (F.col("size") - 1).alias("n_odd"), "h0", "h1")
+    once = per.groupBy("h0", "h1", "size", "l", "main", "n_odd").agg(F.min(F.struct(*keys)).alias("k")).select("k.*", "size", F.col("l.id").alias("leader"), "main", "n_odd")
+    all_ = scratch.write(rows.select(*keys, "id", "n", "label").join(once, keys), "members")
+    big = all_.where((F.col("n_odd") > ODD) & (F.col("id") != F.col("leader"))).select("leader", "id", F.lit(True).alias("big"))
+    parts = F.ceil(F.col("size") / SPLIT)
+    few = all_.where(F.col("n_odd") <= ODD).withColumn("part", F.pmod(F.xxhash64("id"), parts))
+    odd = few.where(F.col("label") != F.col("main")).groupBy(*keys).agg(F.collect_list(F.struct("n", "id", "label")).alias("odd"), F.max(parts).alias("parts"))  # ODD members at most
+    odd = odd.select(*keys, "odd", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"))
+    fits = lambda y: (y["label"] != F.col("label")) & (F.least(y["n"], F.col("n")) * 100 >= F.greatest(y["n"], F.col("n")) * percent)
     mine = F.transform(F.filter("odd", fits), lambda y: F.struct(y["n"].alias("n"), y["id"].alias("id")))
-    pair = few.join(odd, keys).select(F.struct("n", "id").alias("x"), F.explode(mine).alias("y"))
+    pair = few.join(odd, [*keys, "part"]).select(F.struct("n", "id").alias("x"), F.explode(mine).alias("y"))
     pair = pair.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     both = big.unionByName(pair.select(F.col("x.id").alias("leader"), F.col("y.id").alias("id"), F.lit(False).alias("big")))
     return both.groupBy("leader", "id").agg(F.max("big").alias("big"))
 
 
-def one_leader(rows: DataFrame) -> DataFrame:
-    """(leader, id, big) of large buckets: those that share members become one, so each member has one leader."""
-    if not rows.limit(1).count():
-        return rows.select("leader", "id", F.lit(True).alias("big"))
-    of = components(rows.select(F.col("leader").alias("x"), F.col("id").alias("y")))
-    own = written(rows.select("id", "n").distinct().join(of, "id"), "large")
-    lead = own.groupBy("label").agg(F.min(F.struct("n", "id")).alias("l")).select("label", F.col("l.id").alias("leader"))
-    return own.join(lead, "label").where("id <> leader").select("leader", "id", F.lit(True).alias("big"))
-
-
-def candidates(reps: DataFrame, percent: int) -> DataFrame:
+def candidates(scratch: Scratch, classes: DataFrame, percent: int) -> DataFrame:
     """(leader, id, big) of the table keys that two classes or more share."""
-    own = reps.select("id", "n", F.posexplode("keys").alias("g", "key")).select("id", "n", "g", F.xxhash64("g", "key").alias("key"))
+    own = classes.select("id", "n", F.posexplode("keys").alias("g", "key")).select("id", "n", F.col("g").cast("byte").alias("g"), F.xxhash64("g", "key").alias("key"))
     shared = own.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    alive = written(own.join(shared, "key").groupBy("id", "n").agg(F.collect_list(F.struct("g", "key")).alias("gs")), "shared-groups")
+    alive = scratch.write(own.join(shared, "key").groupBy("id", "n").agg(F.collect_list(F.struct("g", "key")).alias("gs")), "shared-groups")
     side = lambda lo: F.transform(F.filter("gs", (lambda x: x["g"] < GROUPS) if lo else (lambda x: x["g"] >= GROUPS)), lambda x: x["key"])
     table = F.flatten(F.transform(side(True), lambda x: F.transform(side(False), lambda y: F.xxhash64(x, y))))
-    return led(alive.select("id", "n", F.col("id").alias("label"), F.array().cast("array<bigint>").alias("before"), F.explode(table).alias("bucket")), ["bucket"], percent)
+    return led(scratch, alive.select("id", "n", F.explode(table).alias("bucket")), ["bucket"], percent)
 
 
 def compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """leader, id, big, n, whether they link, and for big buckets the prefix of id's set without the leader's."""
+    """leader, id, big, n, whether they link, and for big buckets the prefix of id's set without the leader's.
+
+    Pairs of small buckets that cannot link, by sizes and parities, are left out.
+    """
     left = sets.select(F.col("id").alias("leader"), F.col("s").alias("ls"))
-    both = pairs.join(left, "leader").join(sets, "id").withColumn("n", F.size("s").cast("long")).withColumn("ln", F.size("ls").cast("long"))
+    short = sets.select("id", F.size("s").cast("long").alias("n"), "bits")
+    few = pairs.where(~F.col("big")).join(short.toDF("leader", "ln", "lbits"), "leader").join(short, "id")
+    apart = F.aggregate(F.zip_with("bits", "lbits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    few = few.where(apart * (100 + percent) <= (F.col("n") + F.col("ln")) * (100 - percent)).select("leader", "id", "big").join(left, "leader")
+    many = pairs.where("big").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    heads = many.select("leader", "salt").distinct().join(left, "leader")
+    many = many.join(heads, ["leader", "salt"]).drop("salt")
+    both = few.unionByName(many).join(sets.select("id", "s"), "id").withColumn("n", F.size("s").cast("long")).withColumn("ln", F.size("ls").cast("long"))
     both = both.withColumn("rest", F.array_except("s", "ls"))
     common = F.col("n") - F.size("rest")
     hit = common * 100 >= (F.col("n") + F.col("ln") - common) * percent
@@ -195,20 +233,18 @@ def compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("leader", "id", "big", "n", hit.alias("hit"), F.when(F.col("big"), prefix).alias("prefix"))
 
 
-def refine(star: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def refine(scratch: Scratch, star: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """(leader, id, big) of the next buckets: members of one leader in different components that share a prefix shingle."""
     of = star.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     of = of.join(labels.select(F.col("id").alias("leader"), F.col("label").alias("ll")), "leader", "left").withColumn("ll", F.coalesce("ll", "leader"))
     open_ = of.where("label <> ll").select("leader").distinct()
-    rows = of.join(open_, "leader", "left_semi").select(F.col("leader").alias("under"), "id", "n", "label", (F.col("label") != F.col("ll")).alias("odd"), "prefix", F.posexplode("prefix").alias("at", "s"))
-    rows = rows.select("under", "id", "n", "label", "odd", "s", F.slice("prefix", F.lit(1), F.col("at")).alias("before"))
-    # only shingles of members outside the leader's component can matter
-    some = rows.groupBy("under", "s").agg(F.min("label").alias("a"), F.max("label").alias("z"), F.max("odd").alias("odd")).where("odd and a <> z").select("under", "s")
-    return led(written(rows.drop("odd").join(some, ["under", "s"], "left_semi"), "shingle-buckets"), ["under", "s"], percent)
+    # only shingles of members outside the leader's component can matter: these are the odd rows
+    rows = of.join(open_, "leader", "left_semi").select(F.col("leader").alias("under"), "id", "n", "label", (F.col("label") != F.col("ll")).alias("odd"), F.explode("prefix").alias("s"))
+    return led(scratch, rows, ["under", "s"], percent)
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """id and label (smallest id reachable) of every id in ``edges`` (x, y).
+def components(scratch: Scratch, edges: DataFrame) -> DataFrame | None:
+    """id and label (smallest id reachable) of every id in ``edges`` (x, y); None without edges.
 
     By contraction: each vertex hooks to its smallest neighbour, chains of
     hooks are shortened, edges are renamed by it and those within one vertex
@@ -216,60 +252,96 @@ def components(edges: DataFrame) -> DataFrame:
     labels. Vertices hook to smaller ones only, so the root of a component is
     its smallest id.
     """
-    left = written(edges.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).where("x <> y").distinct(), "edges")
+    left = scratch.write(edges.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).where("x <> y").distinct(), "edges")
     labels = None
-    while labels is None or left.limit(1).count():
+    while left.limit(1).count():
         ends = left.select(F.explode(F.array(F.struct(F.col("y").alias("v"), F.col("x").alias("to")), F.struct(F.col("x").alias("v"), F.col("x").alias("to")))).alias("e"))
-        hook = written(ends.groupBy("e.v").agg(F.min("e.to").alias("to")), "hooks")
+        hook = ends.groupBy("e.v").agg(F.min("e.to").alias("to"))
         for _ in range(2):  # a chain of four hooks becomes one
             nxt = hook.select(F.col("v").alias("to"), F.col("to").alias("far"))
-            hook = written(hook.join(nxt, "to").select("v", F.col("far").alias("to")), "hooks")
+            hook = hook.join(nxt, "to").select("v", F.col("far").alias("to"))
+        hook = scratch.write(hook, "hooks")
         to = lambda k: hook.select(F.col("v").alias(k), F.col("to").alias(f"{k}2"))  # noqa: B023, E731
         moved = left.join(to("x"), "x").join(to("y"), "y").select(F.least("x2", "y2").alias("x"), F.greatest("x2", "y2").alias("y"))
-        left = written(moved.where("x <> y").distinct(), "edges")
-        labels = hook.select(F.col("v").alias("id"), F.col("to").alias("label")) if labels is None else written(labels.join(hook, labels.label == hook.v, "left").select("id", F.coalesce("to", "label").alias("label")), "labels")
+        before, was = left, labels
+        left = scratch.write(moved.where("x <> y").distinct(), "edges")
+        if labels is None:
+            labels = hook.select(F.col("v").alias("id"), F.col("to").alias("label"))
+            scratch.drop(before)
+        else:
+            labels = scratch.write(labels.join(hook, labels.label == hook.v, "left").select("id", F.coalesce("to", "label").alias("label")), "labels")
+            scratch.drop(before, was, hook)
     return labels
 
 
-def relabel(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
+def relabel(scratch: Scratch, labels: DataFrame | None, edges: DataFrame) -> DataFrame:
     """Labels after further ``edges`` (x, y): only those between different labels count."""
     if labels is None:
-        return components(edges)
+        found = components(scratch, edges)
+        return scratch.write(edges.sparkSession.createDataFrame([], "id bigint, label bigint") if found is None else found, "labels")
     of = lambda k: labels.select(F.col("id").alias(k), F.col("label").alias(f"{k}2"))
     e = edges.join(of("x"), "x", "left").join(of("y"), "y", "left").select(F.coalesce("x2", "x").alias("x"), F.coalesce("y2", "y").alias("y")).where("x <> y")
-    new = components(e).withColumnsRenamed({"id": "was", "label": "now"})
+    found = components(scratch, e)
+    if found is None:
+        return labels
+    new = found.withColumnsRenamed({"id": "was", "label": "now"})
     old = labels.join(new, labels.label == new.was, "left").select("id", F.coalesce("now", "label").alias("label"))
     fresh = new.join(labels, new.was == labels.id, "left_anti").select(F.col("was").alias("id"), F.col("now").alias("label"))
-    return written(old.unionByName(fresh), "labels")
+    return scratch.write(old.unionByName(fresh), "labels")
+
+
+def same_id(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Edges (x, y) between the classes of each id that has texts of several."""
+    twice = rows.groupBy("doc_id").agg(F.min(F.struct("a", "b")).alias("lo"), F.max(F.struct("a", "b")).alias("hi")).where("lo <> hi").select("doc_id")
+    of = rows.join(twice, "doc_id", "left_semi").join(classes.select("a", "b", "id"), ["a", "b"]).select("doc_id", "id").distinct()
+    return of.join(of.groupBy("doc_id").agg(F.min("id").alias("x")), "doc_id").select("x", F.col("id").alias("y"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id, kept."""
-    sk = written(sketches(docs, k), "sketches")
+    scratch = Scratch(docs.sparkSession)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    sk = scratch.write(sketches(texts, k), "sketches")
     some = sk.where("n > 0 and doc_id is not null")
-    rep = written(some.groupBy("a", "b", "n").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys")), "classes")
-    group = written(candidates(rep.select("id", "n", "keys"), percent), "candidates")
-    involved = written(group.select(F.explode(F.array("leader", "id")).alias("id")).distinct(), "involved")
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
-    order = common_shingles(texts, k, involved)
-    own = full_sets(texts.join(involved, texts.doc_id == involved.id, "left_semi"), k, order)
-    sets = written(own.groupBy("id").agg(F.max("s").alias("s")), "sets")
-    labels = None
+    classes = some.groupBy("a", "b").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    classes = scratch.write(classes.withColumn("id", F.monotonically_increasing_id()), "classes")  # numbers hold once they are written
+    group = scratch.write(candidates(scratch, classes, percent), "candidates")
+    involved = scratch.write(group.select(F.explode(F.array("leader", "id")).alias("id")).distinct().join(classes.select("id", "a", "b", "doc_id"), "id"), "involved")
+    ids = scratch.write(involved.select("doc_id").distinct(), "involved-ids")
+    order = common_shingles(texts, k, ids)
+    own = full_sets(texts.join(ids, "doc_id", "left_semi"), k, order)
+    sets = scratch.write(own.groupBy("a", "b").agg(F.first("s").alias("s"), F.first("bits").alias("bits")).join(involved, ["a", "b"]).select("id", "s", "bits"), "sets")
+    labels, more = None, same_id(some, classes)
     while labels is None or group.limit(1).count():
-        star = written(compare(group, sets, percent), "stars")
+        star = scratch.write(compare(group, sets, percent), "stars")
         hits = star.where("hit").select(F.col("leader").alias("x"), F.col("id").alias("y"))
-        labels = relabel(labels, hits)
-        group = written(refine(star.where("big"), labels, percent), "candidates")
-    of = rep.select("a", "b", "n", "id").join(labels, "id", "left").select("a", "b", "n", F.coalesce("label", "id").alias("component_id"))
-    out = sk.select("doc_id", "n", "a", "b").join(of, ["a", "b", "n"], "left")
-    comp = F.when(F.col("doc_id").isNull() | (F.col("n") == 0), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(comp == F.col("doc_id"), F.lit(True)).alias("kept"))
+        labels = relabel(scratch, labels, hits if labels is not None else hits.unionByName(more))
+        scratch.keep(sk, classes, sets, star, labels)
+        group = scratch.write(refine(scratch, star.where("big"), labels, percent), "candidates")
+        need = scratch.write(group.select(F.explode(F.array("leader", "id")).alias("id")).distinct(), "needed")
+        scratch.keep(sk, classes, sets, group, labels, need)
+        if need.limit(1).count():  # the next rounds' few sets, read from then on
+            sets = scratch.write(sets.join(need, "id", "left_semi"), "sets")
+            scratch.keep(sk, classes, sets, group, labels)
+    scratch.keep(sk, classes, labels)
+    first = labels.join(classes.select("id", "doc_id"), "id").groupBy("label").agg(F.min("doc_id").alias("first"))
+    first = labels.join(first, "label").select("id", "first")
+    of = classes.select("a", "b", "id", "doc_id").join(first, "id", "left").select("a", "b", F.coalesce("first", "doc_id").alias("component_id"))
+    rest = sk.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), "doc_id")
+    out = some.select("a", "b", "doc_id", F.col("n").alias("n_shingles")).join(of, ["a", "b"]).select("doc_id", "n_shingles", "component_id")
+    out = out.unionByName(rest.toDF("doc_id", "n_shingles", "component_id"))
+    return out.select("*", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` less every document that is not the first of its class."""
-    gone = near_duplicates(docs, k, percent).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` less every row that is not the first of its component."""
+    got = near_duplicates(docs, k, percent).where("doc_id is not null")
+    per = got.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("rows"))
+    out_ = per.where("not kept or rows > 1").select(F.col("doc_id").alias("__id"), "kept")
+    alone = docs.join(out_, F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
+    again = docs.join(out_.where("kept"), F.col("doc_id").cast("long") == F.col("__id"), "left_semi")
+    one = again.groupBy("doc_id").agg(F.min_by(F.struct(*columns(docs)), F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("__row"))
+    return alone.select(*columns(docs)).unionByName(one.select("__row.*"))
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
