@@ -151,7 +151,9 @@ def build_cascade(universe: DataFrame, listed: str, sizes: tuple[int, int] | Non
 
 
 def rule_table(spark: SparkSession, rules) -> DataFrame:
-    return spark.createDataFrame([tuple(r) for r in rules], "verdict string, host string, path string")
+    """The rules (verdict, host, path) as a table of constants."""
+    rows = F.array(*(F.struct(*(F.lit(x).cast("string").alias(c) for c, x in zip(("verdict", "host", "path"), r, strict=True))) for r in rules))
+    return spark.range(1).select(F.explode(rows.cast("array<struct<verdict:string,host:string,path:string>>")).alias("r")).select("r.*")
 
 
 def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str = ALLOW, max_bytes: int = MAX_BYTES) -> DataFrame:
