@@ -5,34 +5,42 @@ from __future__ import annotations
 import numpy as np
 
 
+#: Patch samples that one batched transform takes.
+AT_ONCE = 1 << 22
+
+
 def goldstein(z: np.ndarray, corr: np.ndarray, size: int = 32, threshold: float = 0.5) -> np.ndarray:
-    """Adaptive spectral filter: half-overlapping patches, spectrum times |S|^(1 - mean corr), triangular blend.
+    """Adaptive spectral filter of an interferogram (Goldstein and Werner, 1998, with a local exponent).
 
-    Missing (NaN) pixels stay missing; a patch needs ``threshold`` valid pixels.
+    The plane is covered by half-overlapping patches, which are windows of one
+    padded array; a row of them is transformed at once. A patch's spectrum is
+    raised in proportion to its magnitude to the power 1 - c, c the patch's mean
+    correlation, and patches are blended by a triangle. Missing (NaN) pixels
+    stay missing; a patch needs a share of ``threshold`` valid pixels.
     """
     ny, nx = z.shape
     half = size // 2
-    pad = ((0, size - half + (-ny) % half), (0, size - half + (-nx) % half))
-    bad = ~np.isfinite(z)
-    p = np.pad(np.where(bad, 0, z), pad)
-    c = np.pad(np.where(np.isfinite(corr), corr, 0), pad)
-    ok = np.pad(~bad, pad)
-    ramp = 1 - np.abs(np.arange(half) - (half - 1)) / max(half - 1, 1)
-    tri = np.concatenate([ramp, ramp[::-1]])
-    wgt = np.outer(tri, tri)
-    out, total = np.zeros(p.shape, complex), np.zeros(p.shape)
-    for y in range(0, p.shape[0] - size + 1, half):
-        for x in range(0, p.shape[1] - size + 1, half):
-            at = np.s_[y : y + size, x : x + size]
-            if ok[at].sum() < int(size * size * threshold):
-                continue
-            alpha = 1 - (wgt * c[at]).sum() / wgt.sum()
-            f = np.fft.fft2(p[at])
-            out[at] += np.fft.ifft2(f * np.maximum(np.abs(f), 1e-10) ** alpha) * wgt
-            total[at] += wgt
-    res = np.where(total > 1e-6, out / np.maximum(total, 1e-10), np.nan)[:ny, :nx]
-    res[bad] = np.nan
-    return res
+    valid = np.isfinite(z)
+    grow = tuple((0, size - half + (half - n % half) % half) for n in (ny, nx))
+    parts = [np.pad(x, grow) for x in (np.where(valid, z, 0), np.where(np.isfinite(corr), corr, 0.0), valid)]
+    side = np.minimum(np.arange(size), np.arange(size)[::-1]) / max(half - 1, 1)  # a triangle, 0 at the edges and 1 in the middle
+    taper = side[:, None] * side[None, :]
+    data, coh, full = (np.lib.stride_tricks.sliding_window_view(x, (size, size))[::half, ::half] for x in parts)
+    total, blend = np.zeros(parts[0].shape, complex), np.zeros(parts[0].shape)
+    rows = max(1, AT_ONCE // (data.shape[1] * size * size))
+    for top in range(0, data.shape[0], rows):
+        some = np.s_[top : top + rows]
+        use = full[some].sum((2, 3)) >= int(size * size * threshold)
+        sharp = 1 - np.tensordot(coh[some], taper, 2) / taper.sum()
+        spectrum = np.fft.fft2(data[some])
+        smooth = np.fft.ifft2(spectrum * np.maximum(np.abs(spectrum), 1e-10) ** sharp[..., None, None])
+        for i, j in zip(*np.nonzero(use), strict=True):  # what is left is the overlap-add
+            at = np.s_[(top + i) * half : (top + i) * half + size, j * half : j * half + size]
+            total[at] += smooth[i, j] * taper
+            blend[at] += taper
+    with np.errstate(invalid="ignore", divide="ignore"):
+        out = np.where(blend > 1e-6, total / blend, np.nan)[:ny, :nx]
+    return np.where(valid, out, np.nan)
 
 
 def dct2(x: np.ndarray, axis: int) -> np.ndarray:
