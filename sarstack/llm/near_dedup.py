@@ -337,11 +337,15 @@ def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` less every row that is not the first of its component."""
     got = near_duplicates(docs, k, percent).where("doc_id is not null")
     per = got.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("rows"))
-    out_ = per.where("not kept or rows > 1").select(F.col("doc_id").alias("__id"), "kept")
-    alone = docs.join(out_, F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
-    again = docs.join(out_.where("kept"), F.col("doc_id").cast("long") == F.col("__id"), "left_semi")
+    out_ = Scratch(docs.sparkSession).write(per.where("not kept or rows > 1").select(F.col("doc_id").alias("__id"), "kept"), "not-alone")
+    here = F.col("doc_id").cast("long") == F.col("__id")
+    alone = docs.join(out_.select("__id"), here, "left_anti").select(*columns(docs))
+    twice = out_.where("kept").select("__id")
+    if not twice.limit(1).count():  # the usual case: no text is read for repeated ids
+        return alone
+    again = docs.join(twice, here, "left_semi")
     one = again.groupBy("doc_id").agg(F.min_by(F.struct(*columns(docs)), F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("__row"))
-    return alone.select(*columns(docs)).unionByName(one.select("__row.*"))
+    return alone.unionByName(one.select("__row.*"))
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
