@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.phase import circular_mean, circular_std, circular_var, power, resultant, wrap
+from .keys import batch, pixel
 
 
 def reduce_real(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
@@ -49,14 +50,16 @@ def rmse_pairs(obs: DataFrame, fit: DataFrame, keys: list[str] = ["pair_id", "yi
 
 def rmse_dates(obs: DataFrame, series: DataFrame, weighted: bool = False) -> DataFrame:
     """Against a time series: a pair's fit is value(rep) - value(ref)."""
-    s = lambda p, k: series.select(F.col("d").alias(k), "yi", "xi", F.col("value").alias(p))
-    j = obs.join(s("v1", "ref"), ["ref", "yi", "xi"]).join(s("v2", "rep"), ["rep", "yi", "xi"])
+    at = pixel(obs, series)
+    s = lambda p, k: series.select(F.col("d").alias(k), *at, F.col("value").alias(p))
+    j = obs.join(s("v1", "ref"), ["ref", *at]).join(s("v2", "rep"), ["rep", *at])
     return _rms(j, F.col("value") - (F.col("v2") - F.col("v1")), weighted)
 
 
 def rmse_velocity(obs: DataFrame, velocity: DataFrame, weighted: bool = False, wrapped: bool = False) -> DataFrame:
     """Against a yearly rate: a pair's fit is velocity * dt."""
-    j = obs.join(velocity.select("yi", "xi", "velocity"), ["yi", "xi"])
+    at = pixel(obs, velocity)
+    j = obs.join(velocity.select(*at, "velocity"), at)
     r = F.col("value") - F.col("velocity") * F.col("dt")
     return _rms(j, wrap(r) if wrapped else r, weighted)
 
@@ -91,29 +94,30 @@ def corrcoef(df: DataFrame, key: str, channel: str, value: str, channels: int, m
 
 def psfunction(scenes: DataFrame) -> DataFrame:
     """Mean over twice the deviation of the intensity, each date scaled to the mean of the dates' means."""
-    p = scenes.select("yi", "xi", "d", power(F.col("re"), F.col("im")).alias("p"))
-    date = p.groupBy("d").agg(F.avg("p").alias("m"))
-    total = date.agg(F.avg("m").alias("g"))
-    scale = date.join(F.broadcast(total)).select("d", (F.col("g") / F.nullif(F.col("m"), F.lit(0.0))).alias("k"))  # total is one row
-    x = p.join(scale, "d").withColumn("q", F.col("p") * F.col("k"))
-    return x.groupBy("yi", "xi").agg((F.avg("q") / F.nullif(2 * F.stddev_samp("q"), F.lit(0.0))).alias("psf"), F.count("q").alias("n"))
+    p = scenes.select(*pixel(scenes), "d", power(F.col("re"), F.col("im")).alias("p"))
+    by = batch(scenes)
+    date = p.groupBy(*by, "d").agg(F.avg("p").alias("m"))
+    total = date.groupBy(*by).agg(F.avg("m").alias("g"))  # one row a raster
+    scale = (date.join(total, by) if by else date.join(F.broadcast(total))).select(*by, "d", (F.col("g") / F.nullif(F.col("m"), F.lit(0.0))).alias("k"))
+    x = p.join(scale, [*by, "d"]).withColumn("q", F.col("p") * F.col("k"))
+    return x.groupBy(*pixel(scenes)).agg((F.avg("q") / F.nullif(2 * F.stddev_samp("q"), F.lit(0.0))).alias("psf"), F.count("q").alias("n"))
 
 
 def adi(scenes: DataFrame) -> DataFrame:
     """Amplitude dispersion: deviation over mean."""
     a = F.sqrt(power(F.col("re"), F.col("im")))
-    return scenes.groupBy("yi", "xi").agg((F.stddev_pop(a) / F.nullif(F.avg(a), F.lit(0.0))).alias("adi"))
+    return scenes.groupBy(*pixel(scenes)).agg((F.stddev_pop(a) / F.nullif(F.avg(a), F.lit(0.0))).alias("adi"))
 
 
 def coherent(stack: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Pixels whose mean correlation over the pairs reaches the threshold, with all their rows."""
-    w = Window.partitionBy("yi", "xi")
+    w = Window.partitionBy(*pixel(stack))
     return stack.withColumn("mean_corr", F.avg("corr").over(w)).where(F.col("mean_corr") >= threshold)
 
 
 def threshold(stack: DataFrame, limit: float = pi / 2) -> DataFrame:
     """re, im become NULL at pixels whose weighted circular deviation is not below ``limit``."""
-    w = Window.partitionBy("yi", "xi")
+    w = Window.partitionBy(*pixel(stack))
     use = ((F.col("re") != 0) | (F.col("im") != 0)) & (F.col("corr") > 0)
     a = F.sqrt(power(F.col("re"), F.col("im")))
     sw = F.sum(F.when(use, F.col("corr"))).over(w)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.phase import wrap
+from .keys import pixel
 
 
 def sel(df: DataFrame, y: tuple[int, int] | None = None, x: tuple[int, int] | None = None, keys: dict[str, list] | None = None) -> DataFrame:
@@ -39,7 +40,8 @@ def isel(df: DataFrame, dim: str, positions: list[int]) -> DataFrame:
 
 def where(df: DataFrame, mask: DataFrame, value: str = "value") -> DataFrame:
     """``value`` where the mask (yi, xi, keep) holds, NULL elsewhere."""
-    j = df.join(mask.select("yi", "xi", "keep"), ["yi", "xi"], "left")
+    at = pixel(df, mask)  # a mask without batch columns holds for every raster
+    j = df.join(mask.select(*at, "keep"), at, "left")
     return j.withColumn(value, F.when(F.coalesce("keep", F.lit(False)), F.col(value))).drop("keep")
 
 

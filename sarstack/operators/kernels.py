@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..kernels import pixels, raster, stl
 from ..workers import ready
+from .keys import batch
 
 TILE = 16
 
@@ -43,11 +44,28 @@ class Tile:
         return days, np.searchsorted(days, ref), np.searchsorted(days, rep)
 
 
-def per_tile(df: DataFrame, fn: Callable[[pa.Table], pa.Table], schema: str, tile: int = TILE, keys: tuple[str, ...] = ()) -> DataFrame:
-    """``fn`` over square tiles of pixels: bounded groups of tile * tile pixels and their samples."""
+def keyed(df: DataFrame, by: list[str], fn: Callable[[pa.Table, dict], pa.Table], schema: str) -> DataFrame:
+    """``fn`` over groups of the batch columns and ``by``; the batch columns come back with every row.
+
+    ``fn`` takes a group's rows and its key by name.
+    """
     ready(df.sparkSession)
+    own, kinds = batch(df), dict(df.dtypes)
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        at = dict(zip([*own, *by], (k.as_py() for k in key), strict=True))
+        out = fn(table, at)
+        for c in own:
+            out = out.append_column(c, pa.array([at[c]] * out.num_rows, table.schema.field(c).type))
+        return out
+
+    return df.groupBy(*own, *by).applyInArrow(run, ", ".join([schema, *(f"{c} {kinds[c]}" for c in own)]))
+
+
+def per_tile(df: DataFrame, fn: Callable[[pa.Table], pa.Table], schema: str, tile: int = TILE) -> DataFrame:
+    """``fn`` over square tiles of pixels of each raster: bounded groups of tile * tile pixels and their samples."""
     d = df.withColumn("ty", F.floor(F.col("yi") / tile)).withColumn("tx", F.floor(F.col("xi") / tile))
-    return d.groupBy(*keys, "ty", "tx").applyInArrow(fn, schema)
+    return keyed(d, ["ty", "tx"], lambda table, _: fn(table), schema)
 
 
 def _long(t: Tile, out: np.ndarray, samples: np.ndarray, sample: str, value: str) -> pa.Table:
@@ -181,15 +199,14 @@ class Raster:
 
 def per_raster(df: DataFrame, fn: Callable[[Raster], dict[str, np.ndarray]], columns: str, key: str = "pair_id") -> DataFrame:
     """``fn`` over whole rasters, one a group: a solver that needs the whole plane needs it in one task."""
-    ready(df.sparkSession)
     kind = dict(df.dtypes)[key]
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(table: pa.Table, _: dict) -> pa.Table:
         cols = fn(Raster(table))
         n = len(next(iter(cols.values())))
         return pa.table({key: table.column(key).combine_chunks().take(pa.array(np.zeros(n, np.int64)))} | {k: pa.array(v) for k, v in cols.items()})
 
-    return df.groupBy(key).applyInArrow(run, f"{key} {kind}, {columns}")
+    return keyed(df, [key], run, f"{key} {kind}, {columns}")
 
 
 def with_halo(df: DataFrame, tile: int, halo: int) -> DataFrame:
@@ -203,8 +220,8 @@ def goldstein(df: DataFrame, size: int = 32, threshold: float = 0.5, tile: int =
     ready(df.sparkSession)
     halo = size + 2
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        pair, ty, tx = (k.as_py() for k in key)
+    def run(table: pa.Table, key: dict) -> pa.Table:
+        pair, ty, tx = (key[k] for k in ("pair_id", "ty", "tx"))
         r = Raster(table)
         # patches lie on one lattice for all tiles: pad to a multiple of half a patch
         half = size // 2
@@ -217,7 +234,7 @@ def goldstein(df: DataFrame, size: int = 32, threshold: float = 0.5, tile: int =
         y, x = y[own], x[own]
         return pa.table({"pair_id": pa.array(np.full(len(y), pair, np.int32)), "yi": pa.array((y + r.y0).astype(np.int32)), "xi": pa.array((x + r.x0).astype(np.int32)), "re": out[y, x].real, "im": out[y, x].imag})
 
-    return with_halo(df, tile, halo).groupBy("pair_id", "ty", "tx").applyInArrow(run, "pair_id int, yi int, xi int, re double, im double")
+    return keyed(with_halo(df, tile, halo), ["pair_id", "ty", "tx"], run, "pair_id int, yi int, xi int, re double, im double")
 
 
 def unwrap2d(df: DataFrame, weighted: bool = True, link: bool = False, min_size: int = 4) -> DataFrame:
@@ -237,14 +254,14 @@ def unwrap2d_chunk(df: DataFrame, tile: int = 512, overlap: int = 16) -> DataFra
     """The same by tiles with a margin that is cut off; tiles are not reconciled."""
     ready(df.sparkSession)
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        pair, ty, tx = (k.as_py() for k in key)
+    def run(table: pa.Table, key: dict) -> pa.Table:
+        pair, ty, tx = (key[k] for k in ("pair_id", "ty", "tx"))
         r = Raster(table)
         rows = r.rows(value=raster.unwrap(r.grid("value"), r.grid("corr")))
         own = (rows["yi"] // tile == ty) & (rows["xi"] // tile == tx)
         return pa.table({"pair_id": pa.array(np.full(int(own.sum()), pair, np.int32))} | {k: pa.array(v[own]) for k, v in rows.items()})
 
-    return with_halo(df, tile, overlap).groupBy("pair_id", "ty", "tx").applyInArrow(run, "pair_id int, yi int, xi int, value double")
+    return keyed(with_halo(df, tile, overlap), ["pair_id", "ty", "tx"], run, "pair_id int, yi int, xi int, value double")
 
 
 def conncomp(df: DataFrame, key: str = "pair_id") -> DataFrame:

@@ -194,6 +194,10 @@ def robust_plane(x: np.ndarray, y: np.ndarray, v: np.ndarray, rank: int = 3, tun
     return new
 
 
+#: States of one pass; more are an error, never cut off.
+MAX_STATES = 100_000
+
+
 def to_radar(points: DataFrame, states: DataFrame, start: float, prf: float, near_range: float, rng_samp_rate: float) -> DataFrame:
     """points (id, x, y, z in metres, Earth-fixed) with the line ``azi`` and sample ``rng`` at which an orbit sees them.
 
@@ -202,7 +206,9 @@ def to_radar(points: DataFrame, states: DataFrame, start: float, prf: float, nea
     from ..kernels import orbit
 
     ready(points.sparkSession)
-    rows = np.array([tuple(r) for r in states.select("t", "px", "py", "pz", "vx", "vy", "vz").orderBy("t").limit(100_000).collect()], float)
+    rows = np.array([tuple(r) for r in states.select("t", "px", "py", "pz", "vx", "vy", "vz").orderBy("t").limit(MAX_STATES + 1).collect()], float)
+    if len(rows) > MAX_STATES:
+        raise ValueError(f"an orbit of more than {MAX_STATES} states: give those of one pass")
     half = 299792458.0 / 2 / rng_samp_rate
     src = points.select("id", *(F.col(c).cast("double") for c in "xyz"))
 

@@ -6,6 +6,7 @@ from math import pi
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from .keys import pixel
 
 
 def solve(a: list[list[Column]], b: list[Column]) -> list[Column]:
@@ -78,13 +79,13 @@ def velocity_series(series: DataFrame, min_valid: int = 5) -> DataFrame:
     the residual sum of squares follows from the moments too.
     """
     t = F.col("t")
-    d = series.where("value is not null").select("yi", "xi", F.lit(1.0).alias("f0"), t.alias("f1"), F.sin(2 * pi * t).alias("f2"), F.cos(2 * pi * t).alias("f3"), "value")
-    m = d.groupBy("yi", "xi").agg(F.count("*").alias("n"), F.sum(F.col("value") ** 2).alias("yy"), *(F.sum(F.col(f"f{i}") * F.col(f"f{j}")).alias(f"a{i}{j}") for i in range(4) for j in range(i, 4)), *(F.sum(F.col(f"f{i}") * F.col("value")).alias(f"b{i}") for i in range(4)))
+    d = series.where("value is not null").select(*pixel(series), F.lit(1.0).alias("f0"), t.alias("f1"), F.sin(2 * pi * t).alias("f2"), F.cos(2 * pi * t).alias("f3"), "value")
+    m = d.groupBy(*pixel(series)).agg(F.count("*").alias("n"), F.sum(F.col("value") ** 2).alias("yy"), *(F.sum(F.col(f"f{i}") * F.col(f"f{j}")).alias(f"a{i}{j}") for i in range(4) for j in range(i, 4)), *(F.sum(F.col(f"f{i}") * F.col("value")).alias(f"b{i}") for i in range(4)))
     m = m.withColumns({f"k{i}": F.col(f"b{i}") for i in range(4)})
     s = solve_staged(m, [[f"a{min(i, j)}{max(i, j)}" for j in range(4)] for i in range(4)], [f"b{i}" for i in range(4)], [f"c{i}" for i in range(4)])
     rss = F.col("yy") - sum((F.col(f"c{i}") * F.col(f"k{i}") for i in range(4)), F.lit(0.0))
     ok = F.col("n") >= min_valid
-    return s.select("yi", "xi", F.when(ok, F.col("c1")).alias("velocity"), F.when(ok, F.sqrt(F.greatest(rss, F.lit(0.0)) / F.col("n"))).alias("rmse"), "n")
+    return s.select(*pixel(series), F.when(ok, F.col("c1")).alias("velocity"), F.when(ok, F.sqrt(F.greatest(rss, F.lit(0.0)) / F.col("n"))).alias("rmse"), "n")
 
 
 def velocity_pairs(stack: DataFrame, max_refine: int = 3, bins: int = 16) -> DataFrame:
@@ -95,7 +96,7 @@ def velocity_pairs(stack: DataFrame, max_refine: int = 3, bins: int = 16) -> Dat
     """
     use = stack.where(((F.col("re") != 0) | (F.col("im") != 0)) & (F.col("corr") > 0))
     lo = stack.where("dt <> 0").agg(F.min(F.abs("dt")).alias("__min"))
-    p = use.groupBy("yi", "xi").agg(F.collect_list(F.struct(F.atan2("im", "re").alias("a"), F.col("corr").alias("w"), "dt")).alias("s"), F.count("*").alias("n")).where("n >= 4")
+    p = use.groupBy(*pixel(stack)).agg(F.collect_list(F.struct(F.atan2("im", "re").alias("a"), F.col("corr").alias("w"), "dt")).alias("s"), F.count("*").alias("n")).where("n >= 4")
     d = p.join(F.broadcast(lo)).withColumn("lo", -(pi / 2) / F.col("__min")).withColumn("step", F.lit(2.0) * (pi / 2) / F.col("__min") / bins)  # one row
     d = d.withColumn("best", F.struct(F.lit(-1.0).alias("S"), F.lit(0.0).alias("v")))
     zero = F.struct(F.lit(0.0).alias("c"), F.lit(0.0).alias("s"))
@@ -112,7 +113,7 @@ def velocity_pairs(stack: DataFrame, max_refine: int = 3, bins: int = 16) -> Dat
     r = lambda x: F.atan2(F.sin(x["a"] - F.col("best.v") * x["dt"]), F.cos(x["a"] - F.col("best.v") * x["dt"]))
     num = F.aggregate("s", F.lit(0.0), lambda acc, x: acc + x["w"] * r(x) * r(x))
     den = F.aggregate("s", F.lit(0.0), lambda acc, x: acc + x["w"])
-    return d.select("yi", "xi", F.col("best.v").alias("velocity"), F.sqrt(num / F.nullif(den, F.lit(0.0))).alias("rmse"), "n")
+    return d.select(*pixel(stack), F.col("best.v").alias("velocity"), F.sqrt(num / F.nullif(den, F.lit(0.0))).alias("rmse"), "n")
 
 
 def trend2d_window(df: DataFrame, regressors: list[str], keys: list[str], size: int, value: str = "value", min_valid: int = 8, weight: str | None = None) -> DataFrame:
