@@ -18,7 +18,8 @@ def test_matches_sql(spark, con, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs(spark, name):
-    got = QUERIES[name](spark, SF)
+    # a series with any gap has no decomposition, and at the smallest scale each has one
+    got = QUERIES[name](spark, SF.replace("0.001", "0.01") if name == "stl" else SF)
     assert got.columns and got.count() > 0
     got.write.format("noop").mode("overwrite").save()  # every row, every column
 
