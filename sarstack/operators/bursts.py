@@ -92,26 +92,60 @@ def solve_offsets(rows: list[tuple], bursts: list) -> dict:
     return {b: float(x[i]) for b, i in order.items()}
 
 
-def fit(df: DataFrame, keys: list[str] = ["pair_id"], wrapped: bool = True, method: str = "median", **limits: float) -> DataFrame:  # noqa: B006
-    """burst, keys and offset (3 decimals) to subtract; overlaps are summed up in Spark, the small graph is solved here."""
-    spark = df.sparkSession
-    stats = overlap_stats(df, keys, wrapped=wrapped, method=method, **limits)
-    rows = stats.collect()  # a row an overlap and pair
-    bursts = [r.burst for r in df.select("burst").distinct().collect()]
-    by: dict[tuple, list] = {}
+def _solved(rows: list[tuple], keys: list[str], bursts: list, df: DataFrame, name: str, digits: int, wrapped: bool) -> DataFrame:
+    """keys, burst and ``name`` from rows of (keys, b1, b2, difference, weight), solved for each of the keys."""
+    n, by = len(keys), {}
     for r in rows:
-        by.setdefault(tuple(r[k] for k in keys), []).append((r.b1, r.b2, r.offset, float(r.n)))
+        by.setdefault(tuple(r[:n]), []).append(tuple(r[n:]))
     out = []
     for k, edges in by.items():
         for b, v in solve_offsets(edges, bursts).items():
             v = (v + pi) % (2 * pi) - pi if wrapped else v
-            out.append((*k, b, round(v, 3)))
+            out.append((*k, b, round(v, digits)))
     kinds = dict(df.dtypes)
-    return spark.createDataFrame(out, ", ".join(f"{k} {kinds[k]}" for k in keys) + f", burst {kinds['burst']}, offset double")
+    return df.sparkSession.createDataFrame(out, ", ".join(f"{k} {kinds[k]}" for k in keys) + f", burst {kinds['burst']}, {name} double")
+
+
+def _bursts(df: DataFrame) -> list:
+    return [r.burst for r in df.select("burst").distinct().collect()]
+
+
+def fit(df: DataFrame, keys: list[str] = ["pair_id"], wrapped: bool = True, method: str = "median", **limits: float) -> DataFrame:  # noqa: B006
+    """burst, keys and offset (3 decimals) to subtract; overlaps are summed up in Spark, the small graph is solved here."""
+    stats = overlap_stats(df, keys, wrapped=wrapped, method=method, **limits)
+    rows = stats.select(*keys, "b1", "b2", "offset", F.col("n").cast("double")).collect()  # a row an overlap and pair
+    return _solved(rows, keys, _bursts(df), df, "offset", 3, wrapped)
+
 
+def fit_ramp(df: DataFrame, keys: list[str] = ["pair_id"], wrapped: bool = True, dx: float = 1.0, min_extent: float = 100.0, min_pixels: int = 50) -> DataFrame:  # noqa: B006
+    """burst, keys and ramp (9 decimals) to subtract, in radians or units a unit of x = xi * dx.
 
-def align(df: DataFrame, keys: list[str] = ["pair_id"], wrapped: bool = True, method: str = "median", **limits: float) -> DataFrame:  # noqa: B006
-    """Bursts less their fitted offsets; a burst without one stays."""
+    An overlap's ramp is the least-squares slope of its differences along x;
+    overlaps of no more than ``min_extent`` along x or fewer than
+    ``min_pixels`` pixels have none. Wrapped differences must lie within half
+    a cycle, as they do once offsets are removed.
+    """
+    w = wrap if wrapped else (lambda v: v)
+    x = F.col("xi") * dx
+    per = overlaps(df, keys).groupBy(*keys, "b1", "b2").agg(F.regr_slope(w(F.col("v2") - F.col("v1")), x).alias("ramp"), F.count("*").alias("n"), (F.max(x) - F.min(x)).alias("extent"))
+    rows = per.where((F.col("extent") > min_extent) & (F.col("n") >= min_pixels)).select(*keys, "b1", "b2", "ramp", F.col("n").cast("double")).collect()  # a row an overlap and pair
+    return _solved(rows, keys, _bursts(df), df, "ramp", 9, False)
+
+
+def align(df: DataFrame, keys: list[str] = ["pair_id"], wrapped: bool = True, method: str = "median", degree: int = 0, dx: float = 1.0, min_extent: float = 100.0, **limits: float) -> DataFrame:  # noqa: B006
+    """Bursts less their fitted offsets; a burst without one stays.
+
+    With ``degree`` 1 offsets, then ramps along x, then the offsets that are
+    left are removed.
+    """
+    if degree == 1:
+        flat = align(df, keys, wrapped, method, **limits)
+        ramps = fit_ramp(flat, keys, wrapped, dx, min_extent, limits.get("min_pixels", 50))
+        v = F.col("value") - F.coalesce("ramp", F.lit(0.0)) * F.col("xi") * dx
+        level = flat.join(ramps, [*keys, "burst"], "left").withColumn("value", wrap(v) if wrapped else v).drop("ramp")
+        return align(level, keys, wrapped, method, **limits)
+    if degree:
+        raise ValueError("degree is 0 or 1")
     off = fit(df, keys, wrapped, method, **limits)
     v = F.col("value") - F.coalesce("offset", F.lit(0.0))
     return df.join(off, [*keys, "burst"], "left").withColumn("value", wrap(v) if wrapped else v).drop("offset")
@@ -168,3 +202,17 @@ def esd(df: DataFrame, min_count: int = 50) -> DataFrame:
     ref = z.join(F.broadcast(first), F.col("d") == F.col("d0")).select("b1", "b2", "yi", "xi", F.col("re").alias("r0"), F.col("im").alias("i0"))  # first is one row
     s = z.join(ref, ["b1", "b2", "yi", "xi"]).groupBy("d", "b1", "b2").agg(F.sum(F.col("re") * F.col("r0") + F.col("im") * F.col("i0")).alias("sr"), F.sum(F.col("im") * F.col("r0") - F.col("re") * F.col("i0")).alias("si"), F.count("*").alias("n"))
     return s.where(F.col("n") >= min_count).select("d", "b1", "b2", F.atan2("si", "sr").alias("angle"), F.sqrt(F.col("n").cast("double")).alias("weight"), "n")
+
+
+def esd_align(df: DataFrame, min_count: int = 50) -> DataFrame:
+    """Complex bursts rotated so that their double differences vanish; a burst and date without an angle stays.
+
+    The angles of each date are solved by least squares over the overlaps, the
+    first burst of each connected part at 0. The driver sees one row an overlap
+    and date.
+    """
+    rows = esd(df, min_count).select("d", "b1", "b2", -F.col("angle"), "weight").collect()
+    phi = _solved(rows, ["d"], _bursts(df), df, "phi", 9, True)
+    p = F.coalesce("phi", F.lit(0.0))
+    re, im = F.col("re") * F.cos(p) + F.col("im") * F.sin(p), F.col("im") * F.cos(p) - F.col("re") * F.sin(p)
+    return df.join(phi, ["d", "burst"], "left").select([(re if c == "re" else im if c == "im" else F.col(c)).alias(c) for c in df.columns])
