@@ -17,7 +17,9 @@ Steps
    compared once.
 3. In a bucket the members outside the component that most of it is in are its
    odd ones. Where they are at most ODD, each is compared with all other
-   members: a bounded number of pairs for each member. Otherwise the smallest
+   members: a bounded number of pairs for each member. The bound is WIDER
+   times as large each round, up to ODD_MOST: the members left in large
+   buckets grow fewer in about that measure. Otherwise the smallest
    set is the leader, and members are compared with their leader, not with one
    another.
 4. Two members of a large bucket that differ in component must still be
@@ -69,8 +71,8 @@ from ._store import Scratch, columns
 
 U = np.uint64
 GROUPS, PER_GROUP = 14, 4
-#: Odd members of a bucket up to which they are compared with all of it.
-ODD = 36
+#: Odd members of a bucket up to which they are compared with all of it: in the first round, growth a round, bound.
+ODD, WIDER, ODD_MOST = 36, 4, 2_304
 #: Parts into which a leader's members are dealt; members of a bucket that one part of it holds about.
 SALTS, SPLIT = 64, 1_024
 #: Parity bits of a set (a multiple of 64).
@@ -166,10 +168,10 @@ def full_sets(texts: DataFrame, k: int, order: tuple[np.ndarray, np.ndarray] | N
     return texts.select("text").mapInArrow(run, "a bigint, b bigint, bits array<bigint>, s array<bigint>")
 
 
-def led(scratch: Scratch, rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
+def led(scratch: Scratch, rows: DataFrame, keys: list[str], percent: int, most: int) -> DataFrame:
     """(leader, id, big) to compare, from rows of (keys, n, id), or of (keys, n, id, label, odd).
 
-    Buckets with few odd members give the pairs of those with all others, the
+    Buckets with at most ``most`` odd members give the pairs of those with all others, the
     smaller set first, that can reach the similarity and differ in label; the
     rest give each member with its leader. Without a label every member is a
     component of its own. Buckets without a row marked ``odd`` are left out,
@@ -186,10 +188,10 @@ def led(scratch: Scratch, rows: DataFrame, keys: list[str], percent: int) -> Dat
         per = per.select(*keys, "size", "l", F.col("l.id").alias("main"), (F.col("size") - 1).alias("n_odd"), "h0", "h1")
     once = per.groupBy("h0", "h1", "size", "l", "main", "n_odd").agg(F.min(F.struct(*keys)).alias("k")).select("k.*", "size", F.col("l.id").alias("leader"), "main", "n_odd")
     all_ = scratch.write(rows.select(*keys, "id", "n", "label").join(once, keys), "members")
-    big = all_.where((F.col("n_odd") > ODD) & (F.col("id") != F.col("leader"))).select("leader", "id", F.lit(True).alias("big"))
-    parts = F.ceil(F.col("size") / SPLIT)
-    few = all_.where(F.col("n_odd") <= ODD).withColumn("part", F.pmod(F.xxhash64("id"), parts))
-    odd = few.where(F.col("label") != F.col("main")).groupBy(*keys).agg(F.collect_list(F.struct("n", "id", "label")).alias("odd"), F.max(parts).alias("parts"))  # ODD members at most
+    big = all_.where((F.col("n_odd") > most) & (F.col("id") != F.col("leader"))).select("leader", "id", F.lit(True).alias("big"))
+    parts = F.ceil(F.col("size") / max(SPLIT * ODD // max(most, 1), 1))  # pairs of one part are as many whatever ``most``
+    few = all_.where(F.col("n_odd") <= most).withColumn("part", F.pmod(F.xxhash64("id"), parts))
+    odd = few.where(F.col("label") != F.col("main")).groupBy(*keys).agg(F.collect_list(F.struct("n", "id", "label")).alias("odd"), F.max(parts).alias("parts"))  # ``most`` members at most
     odd = odd.select(*keys, "odd", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"))
     fits = lambda y: (y["label"] != F.col("label")) & (F.least(y["n"], F.col("n")) * 100 >= F.greatest(y["n"], F.col("n")) * percent)
     mine = F.transform(F.filter("odd", fits), lambda y: F.struct(y["n"].alias("n"), y["id"].alias("id")))
@@ -206,7 +208,7 @@ def candidates(scratch: Scratch, classes: DataFrame, percent: int) -> DataFrame:
     alive = scratch.write(own.join(shared, "key").groupBy("id", "n").agg(F.collect_list(F.struct("g", "key")).alias("gs")), "shared-groups")
     side = lambda lo: F.transform(F.filter("gs", (lambda x: x["g"] < GROUPS) if lo else (lambda x: x["g"] >= GROUPS)), lambda x: x["key"])
     table = F.flatten(F.transform(side(True), lambda x: F.transform(side(False), lambda y: F.xxhash64(x, y))))
-    return led(scratch, alive.select("id", "n", F.explode(table).alias("bucket")), ["bucket"], percent)
+    return led(scratch, alive.select("id", "n", F.explode(table).alias("bucket")), ["bucket"], percent, ODD)
 
 
 def compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -233,14 +235,14 @@ def compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("leader", "id", "big", "n", hit.alias("hit"), F.when(F.col("big"), prefix).alias("prefix"))
 
 
-def refine(scratch: Scratch, star: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def refine(scratch: Scratch, star: DataFrame, labels: DataFrame, percent: int, most: int) -> DataFrame:
     """(leader, id, big) of the next buckets: members of one leader in different components that share a prefix shingle."""
     of = star.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     of = of.join(labels.select(F.col("id").alias("leader"), F.col("label").alias("ll")), "leader", "left").withColumn("ll", F.coalesce("ll", "leader"))
     open_ = of.where("label <> ll").select("leader").distinct()
     # only shingles of members outside the leader's component can matter: these are the odd rows
     rows = of.join(open_, "leader", "left_semi").select(F.col("leader").alias("under"), "id", "n", "label", (F.col("label") != F.col("ll")).alias("odd"), F.explode("prefix").alias("s"))
-    return led(scratch, rows, ["under", "s"], percent)
+    return led(scratch, rows, ["under", "s"], percent, most)
 
 
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame | None:
@@ -307,22 +309,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     classes = scratch.write(classes.withColumn("id", F.monotonically_increasing_id()), "classes")  # numbers hold once they are written
     group = scratch.write(candidates(scratch, classes, percent), "candidates")
     involved = scratch.write(group.select(F.explode(F.array("leader", "id")).alias("id")).distinct().join(classes.select("id", "a", "b", "doc_id"), "id"), "involved")
-    ids = scratch.write(involved.select("doc_id").distinct(), "involved-ids")
-    order = common_shingles(texts, k, ids)
-    own = full_sets(texts.join(ids, "doc_id", "left_semi"), k, order)
+    order = common_shingles(texts, k, involved.select("doc_id"))
+    own = full_sets(texts.join(involved.select("doc_id"), "doc_id", "left_semi"), k, order)
     sets = scratch.write(own.groupBy("a", "b").agg(F.first("s").alias("s"), F.first("bits").alias("bits")).join(involved, ["a", "b"]).select("id", "s", "bits"), "sets")
-    labels, more = None, same_id(some, classes)
+    labels, more, most, narrowed = None, same_id(some, classes), ODD, False
     while labels is None or group.limit(1).count():
         star = scratch.write(compare(group, sets, percent), "stars")
         hits = star.where("hit").select(F.col("leader").alias("x"), F.col("id").alias("y"))
         labels = relabel(scratch, labels, hits if labels is not None else hits.unionByName(more))
         scratch.keep(sk, classes, sets, star, labels)
-        group = scratch.write(refine(scratch, star.where("big"), labels, percent), "candidates")
-        need = scratch.write(group.select(F.explode(F.array("leader", "id")).alias("id")).distinct(), "needed")
-        scratch.keep(sk, classes, sets, group, labels, need)
-        if need.limit(1).count():  # the next rounds' few sets, read from then on
+        most = min(most * WIDER, ODD_MOST)
+        group = scratch.write(refine(scratch, star.where("big"), labels, percent, most), "candidates")
+        scratch.keep(sk, classes, sets, group, labels)
+        if not narrowed:  # to members of large buckets, all that later rounds compare
+            need = group.select(F.explode(F.array("leader", "id")).alias("id"))
             sets = scratch.write(sets.join(need, "id", "left_semi"), "sets")
             scratch.keep(sk, classes, sets, group, labels)
+            narrowed = True
     scratch.keep(sk, classes, labels)
     first = labels.join(classes.select("id", "doc_id"), "id").groupBy("label").agg(F.min("doc_id").alias("first"))
     first = labels.join(first, "label").select("id", "first")
