@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sarstack.operators import bursts, network
-from sarstack.sources import prm, snapshot, zarr3
+from sarstack.sources import catalog, prm, snapshot, zarr3
 from sarstack.streaming import acquire
 
 
@@ -83,3 +83,22 @@ def test_align_removes_constant_offsets(spark):
     out = bursts.align(df)
     assert bursts.residuals(df).first().residual == 0.3 and bursts.residuals(out).first().residual == 0.0
     assert datetime.now()
+
+
+def test_orbit_files_of_one_day_are_not_paired(spark):
+    """40,000 files and 40,000 scenes of one day: their pairs, 1.6 billion, are never made."""
+    day = "timestamp'2024-01-05'"
+    scenes = spark.range(40_000).selectExpr("id", "concat('S', id % 2) as mission", f"{day} + make_interval(0, 0, 0, id % 3) as t")
+    orbits = spark.range(40_000).selectExpr("id as file", "concat('S', id % 2) as mission", "if(id % 5 = 0, 'POEORB', 'RESORB') as kind", f"{day} + make_interval(0, 0, 0, id % 2) as start", f"{day} + make_interval(0, 0, 0, 1 + id % 2) as stop", "cast(id % 1000 as double) as made")
+    got = catalog.match_orbits(scenes, orbits).groupBy("kind", "file").count().collect()
+    # precise, newest (made 995 or 990), then the least file; the second day's scenes of even missions have none
+    assert sorted(map(tuple, got), key=str) == [("POEORB", 990, 13333), ("POEORB", 995, 13333), (None, None, 13334)]
+
+
+def test_orbit_choice_with_missing_and_repeated(spark):
+    t0, t1 = datetime(2024, 1, 5), datetime(2024, 1, 6)
+    scenes = spark.createDataFrame([(1, "A", t0), (1, "A", datetime(2030, 1, 1)), (2, "B", t0), (3, None, t0), (None, "A", t0), (4, "C", t0)], "id int, mission string, t timestamp")
+    files = [("a1", "A", "RESORB", t0, t1, t1), ("a2", "A", "RESORB", t0, t1, None), ("a0", "A", "RESORB", t0, t1, t1), ("b", "B", None, t0, t1, None), ("n", "A", "POEORB", None, t1, t1), ("c1", "C", "RESORB", t0, t1, t1), ("c0", "C", "POEORB", t0, t0, t0)]
+    orbits = spark.createDataFrame(files, "file string, mission string, kind string, start timestamp, stop timestamp, made timestamp")
+    got = sorted(((r.id, r.file, r.kind) for r in catalog.match_orbits(scenes, orbits).collect()), key=str)
+    assert got == [(1, "a0", "RESORB"), (1, "a0", "RESORB"), (2, "b", None), (3, None, None), (4, "c0", "POEORB"), (None, None, None)]
