@@ -99,12 +99,50 @@ def components(ok: np.ndarray) -> np.ndarray:
     return rank[inv].reshape(lab.shape)
 
 
+#: Pixels of a raster up to which least squares are solved by elimination.
+DIRECT = 640
+
+
+class Direct:
+    """Least squares over the edges of a small raster: one pixel of each component is held, then components keep their means."""
+
+    def __init__(self, lab: np.ndarray):
+        ids = np.arange(lab.size).reshape(lab.shape)
+        flat = lab.ravel()
+        self.of = flat[flat > 0]
+        self.at = np.flatnonzero(flat)
+        new = np.zeros(lab.size, np.int64)
+        new[self.at] = np.arange(len(self.at))
+        ends = [(ids[:-1].ravel(), ids[1:].ravel()), (ids[:, :-1].ravel(), ids[:, 1:].ravel())]
+        self.use = [(flat[i] > 0) & (flat[j] > 0) for i, j in ends]
+        self.i, self.j = (np.concatenate([new[e[k][u]] for e, u in zip(ends, self.use, strict=True)]) for k in (0, 1))
+        self.held = np.unique(self.of, return_index=True)[1]
+        self.n = np.bincount(self.of)
+
+    def solve(self, ay: np.ndarray, ax: np.ndarray, r: np.ndarray) -> np.ndarray:
+        w = np.concatenate([a.ravel()[u] for a, u in zip((ay, ax), self.use, strict=True)])
+        n = len(self.at)
+        m = np.zeros((n, n))
+        m[self.i, self.j] = m[self.j, self.i] = -w
+        m[np.arange(n), np.arange(n)] = np.bincount(self.i, w, n) + np.bincount(self.j, w, n)
+        b = r.ravel()[self.at]
+        m[self.held] = 0
+        m[self.held, self.held] = 1
+        b[self.held] = 0
+        x = np.linalg.solve(m, b)
+        x -= (np.bincount(self.of, x) / np.maximum(self.n, 1))[self.of]
+        out = np.zeros(r.size)
+        out[self.at] = x
+        return out.reshape(r.shape)
+
+
 def unwrap(phase: np.ndarray, weight: np.ndarray | None = None, iterations: int = 30, eps: float = 1e-2, cg: int = 60) -> np.ndarray:
     """Spatial unwrapping: minimum of sum w |grad u - wrapped grad phase|, then phase + 2 pi k.
 
     An unweighted Poisson solution starts; reweighted least squares follow,
     each solved by conjugate gradients with the Poisson solver as
-    preconditioner. Every component gets the integer that fits its median.
+    preconditioner, or directly in rasters of at most DIRECT pixels. Every
+    component gets the integer that fits its median.
     """
     ok = np.isfinite(phase)
     if not ok.any():
@@ -126,6 +164,8 @@ def unwrap(phase: np.ndarray, weight: np.ndarray | None = None, iterations: int
     def cost(u: np.ndarray) -> float:
         return float((wy * np.abs(np.diff(u, axis=0) - gy)).sum() + (wx * np.abs(np.diff(u, axis=1) - gx)).sum())
 
+    lab = components(ok)
+    direct = Direct(lab) if ok.size <= DIRECT else None
     u = poisson(div(np.where(wy > 0, gy, 0), np.where(wx > 0, gx, 0)))
     best, least = u, cost(u)
     for _ in range(iterations):
@@ -135,9 +175,12 @@ def unwrap(phase: np.ndarray, weight: np.ndarray | None = None, iterations: int
         ay, ax = np.clip(ay / scale, 0, 1e4), np.clip(ax / scale, 0, 1e4)
         apply = lambda v: -div(ay * np.diff(v, axis=0), ax * np.diff(v, axis=1))  # noqa: B023, E731
         r = -div(ay * gy, ax * gx) - apply(u)
-        x, z = u.copy(), -poisson(r)
-        d, rz, r0 = z.copy(), float((r * z).sum()), float((r * r).sum())
-        for _ in range(cg):
+        if direct:
+            x = u + direct.solve(ay, ax, r)
+        else:
+            x, z = u.copy(), -poisson(r)
+            d, rz, r0 = z.copy(), float((r * z).sum()), float((r * r).sum())
+        for _ in range(0 if direct else cg):
             if rz <= 0 or float((r * r).sum()) < 1e-10 * max(r0, 1e-30):
                 break
             q = apply(d)
@@ -156,7 +199,6 @@ def unwrap(phase: np.ndarray, weight: np.ndarray | None = None, iterations: int
             break
     u = best
     out = np.full(p.shape, np.nan)
-    lab = components(ok)
     for k in range(1, lab.max() + 1):
         m = lab == k
         shift = np.median(wrap(p[m] - u[m] - np.median(wrap(p[m] - u[m]))))
