@@ -62,11 +62,11 @@ def combine_first(a: DataFrame, b: DataFrame, keys: list[str], value: str = "val
 
 
 def arithmetic(a: DataFrame, b: DataFrame, op: Callable[[Column, Column], Column], keys: list[str], wrapped: bool = False, group: str = "burst") -> DataFrame:
-    """a op b on equal keys; a burst that b lacks passes unchanged, a pixel that b lacks becomes missing."""
+    """a op b on equal keys; a burst that b lacks passes unchanged, a pixel that b lacks goes, one without a value stays missing."""
     has = b.select(group).distinct().withColumn("__has", F.lit(True))
     j = a.join(has, group, "left").join(b.select(*keys, F.col("value").alias("__b")), keys, "left")
     v = F.when(F.col("__has").isNull(), F.col("value")).otherwise(op(F.col("value"), F.col("__b")))
-    return j.select(*keys, (wrap(v) if wrapped else v).alias("value")).where("value is not null")
+    return j.where("__has is null or __b is not null").select(*keys, (wrap(v) if wrapped else v).alias("value"))
 
 
 def compare(a: DataFrame, b: DataFrame, op: Callable[[Column, Column], Column], keys: list[str]) -> DataFrame:
