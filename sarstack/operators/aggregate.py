@@ -31,6 +31,7 @@ def coarsen_start(factor: int, origin: int = 0) -> int:
 def coarsen(df: DataFrame, fy: int, fx: int, keys: list[str], value: str = "value", kind: str = "real", lattice: DataFrame | None = None) -> DataFrame:
     """Means of fy x fx blocks that lie wholly inside the lattice.
 
+    ``n`` counts a block's values, ``pixels`` its rows with or without one.
     Blocks begin on multiples of the factors. The last complete block comes
     from the lattice's extent (of ``lattice``, else of ``df``).
     """
@@ -39,7 +40,7 @@ def coarsen(df: DataFrame, fy: int, fx: int, keys: list[str], value: str = "valu
     d = df.join(F.broadcast(ext)).where(((by + 1) * fy - 1 <= F.col("__my")) & ((bx + 1) * fx - 1 <= F.col("__mx")))  # ext is one row
     v = F.col(value)
     agg = F.avg(v) if kind == "real" else circular_mean(v)
-    return d.groupBy(*keys, by.cast("int").alias("yi"), bx.cast("int").alias("xi")).agg(agg.alias(value), F.count(v).alias("n"))
+    return d.groupBy(*keys, by.cast("int").alias("yi"), bx.cast("int").alias("xi")).agg(agg.alias(value), F.count(v).alias("n"), F.count("*").alias("pixels"))
 
 
 def rmse_pairs(obs: DataFrame, fit: DataFrame, keys: list[str] = ["pair_id", "yi", "xi"], weighted: bool = False, wrapped: bool = False) -> DataFrame:  # noqa: B006
