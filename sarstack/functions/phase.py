@@ -77,5 +77,6 @@ def circular_var(v: Column) -> Column:
 
 
 def rounded(v: Column, digits: int = 6) -> Column:
-    """For results: rounded, without a negative zero."""
-    return F.round(v, digits) + 0.0
+    """For results: rounded half away from zero as scaled doubles, as the SQL engine does, without a negative zero."""
+    scale = 10.0**digits
+    return F.round(v * scale, 0) / scale + 0.0
