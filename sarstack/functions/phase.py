@@ -43,6 +43,12 @@ def angle(re: Column, im: Column) -> Column:
     return F.when((re != 0) | (im != 0), F.atan2(im, re))
 
 
+def direction(re: Column, im: Column) -> Column:
+    """Phase as the C library's ``atan2`` has it: zeros keep their sign, which Spark's drops."""
+    minus = lambda v: v.cast("string") == "-0.0"
+    return F.when((im == 0) & ((re < 0) | minus(re)), F.when(minus(im), -pi).otherwise(pi)).otherwise(F.atan2(im, re))
+
+
 def iexp(v: Column, sign: int = -1) -> tuple[Column, Column]:
     """exp(sign i v) as (re, im)."""
     return F.cos(v), F.sin(v) * sign
