@@ -15,11 +15,16 @@ Steps
    table keys are formed from shared groups only. Buckets (table keys) with the
    same members count once: two near copies share a hundred keys but are
    compared once.
-3. In a bucket the members outside the component that most of it is in are its
-   odd ones. Where they are at most ODD, each is compared with all other
-   members: a bounded number of pairs for each member. Otherwise the smallest
-   set is the leader, and members are compared with their leader, not with one
-   another.
+3. Each class is first compared with one other, the smallest set of its largest
+   bucket (its hub): families of near copies become components by one
+   comparison a member. From here on only buckets of several components
+   matter. NEAR times, each member of one is compared with the nearest, by
+   parities, of its other components' smallest sets. Then what is still apart
+   is compared exhaustively. In such a bucket the members outside the component that most of it
+   is in are its odd ones. Where they are at most ODD, each is compared with
+   all other members of other components: a bounded number for each member.
+   Otherwise the smallest set is the leader, and members are compared with
+   their leader, not with one another.
 4. Two members of a large bucket that differ in component must still be
    compared if they can link. At least one of them, y, missed its leader l, and
    l is no larger than either; so what x and y share cannot lie within l: a link
@@ -32,11 +37,13 @@ Steps
    new leader is larger than the one before, so this ends; no candidate is
    capped and no pair list is formed.
 5. Comparisons are exact integers (100 * common >= 80 * union) on 64-bit
-   shingle hashes of the texts involved, which are computed once. Pairs that
+   shingle hashes of the texts involved, which are computed once; a broadcast
+   map of their ids (bits, so a few others pass and are dropped by their digest)
+   finds them without a shuffle of texts. Pairs that
    BITS parity bits of each set prove to differ too much are not compared:
    every shingle flips one bit, so two sets differ in at least as many shingles
    as their bits do. A leader's
-   set goes to SALTS parts of its members, and a bucket's odd members to one
+   set goes to SALTS parts of its members (a hub's to one for each HUB_SPLIT), and a bucket's odd members to one
    part of it for each SPLIT members, so no key is one task's work.
 6. Components by minimum labels with contraction, a written table each round.
    A written table is deleted when its successors are written.
@@ -56,11 +63,11 @@ any names. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..workers import ready
@@ -73,6 +80,12 @@ GROUPS, PER_GROUP = 14, 4
 ODD = 36
 #: Parts into which a leader's members are dealt; members of a bucket that one part of it holds about.
 SALTS, SPLIT = 64, 1_024
+#: Members of a hub that one part of it holds about.
+HUB_SPLIT = 256
+#: Rounds of comparisons with the nearest of other components.
+NEAR = 2
+#: Bits of the map of ids that is broadcast, as a power of two; ids up to which a list of them is.
+MAP_BITS, FEW_IDS = 25, 1 << 20
 #: Parity bits of a set (a multiple of 64).
 BITS = 1024
 #: Texts whose shingles are counted for the order, and shingles that the order ranks.
@@ -166,59 +179,107 @@ def full_sets(texts: DataFrame, k: int, order: tuple[np.ndarray, np.ndarray] | N
     return texts.select("text").mapInArrow(run, "a bigint, b bigint, bits array<bigint>, s array<bigint>")
 
 
-def led(scratch: Scratch, rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
-    """(leader, id, big) to compare, from rows of (keys, n, id), or of (keys, n, id, label, odd).
+def apart(x: Column, y: Column) -> Column:
+    """Shingles, at least, that only one of two sets has, by their parities."""
+    return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda p, q: p + q)
+
+
+def fits(percent: int) -> Callable[[Column], Column]:
+    """Whether a member (n, label, bits) can link with the row's and join two components by it."""
+    n = F.col("n")
+    return lambda y: (y["label"] != F.col("label")) & (F.least(y["n"], n) * 100 >= F.greatest(y["n"], n) * percent) & (apart(y["bits"], F.col("bits")) * (100 + percent) <= (y["n"] + n) * (100 - percent))
+
+
+def marks() -> list[Column]:
+    """128 bits of a set of members."""
+    return [F.bit_xor(F.xxhash64("id", F.lit(i))).alias(f"h{i}") for i in range(2)]
+
+
+def led(scratch: Scratch, rows: DataFrame, sets: DataFrame, keys: list[str], percent: int) -> DataFrame:
+    """(leader, id, big) to compare, from rows of (keys, n, id, label, odd).
 
     Buckets with few odd members give the pairs of those with all others, the
-    smaller set first, that can reach the similarity and differ in label; the
-    rest give each member with its leader. Without a label every member is a
-    component of its own. Buckets without a row marked ``odd`` are left out,
-    and of those with the same members one is taken.
+    smaller set first, that by sizes and parities can reach the similarity and
+    differ in label; the rest give each member with its leader. Buckets of one
+    component or without a row marked ``odd`` are left out, and of those with
+    the same members one is taken.
     """
-    marks = [F.bit_xor(F.xxhash64("id", F.lit(i))).alias(f"h{i}") for i in range(2)]  # 128 bits of a set of members
-    if "label" in rows.columns:
-        by_label = rows.groupBy(*keys, "label").agg(F.count("*").alias("c"), F.min(F.struct("n", "id")).alias("l"), F.max("odd").alias("odd"), *marks)
-        per = by_label.groupBy(*keys).agg(F.sum("c").alias("size"), F.min("l").alias("l"), F.max(F.struct("c", "label")).alias("m"), F.max("odd").alias("odd"), F.bit_xor("h0").alias("h0"), F.bit_xor("h1").alias("h1"))
-        per = per.where("odd and size > m.c").select(*keys, "size", "l", F.col("m.label").alias("main"), (F.col("size") - F.col("m.c")).alias("n_odd"), "h0", "h1")
-    else:
-        rows = rows.withColumn("label", F.col("id"))
-        per = rows.groupBy(*keys).agg(F.count("*").alias("size"), F.min(F.struct("n", "id")).alias("l"), *marks).where("size > 1")
-        per = per.select(*keys, "size", "l", F.col("l.id").alias("main"), (F.col("size") - 1).alias("n_odd"), "h0", "h1")
+    by_label = rows.groupBy(*keys, "label").agg(F.count("*").alias("c"), F.min(F.struct("n", "id")).alias("l"), F.max("odd").alias("odd"), *marks())
+    per = by_label.groupBy(*keys).agg(F.sum("c").alias("size"), F.min("l").alias("l"), F.max(F.struct("c", "label")).alias("m"), F.max("odd").alias("odd"), F.bit_xor("h0").alias("h0"), F.bit_xor("h1").alias("h1"))
+    per = per.where("odd and size > m.c").select(*keys, "size", "l", F.col("m.label").alias("main"), (F.col("size") - F.col("m.c")).alias("n_odd"), "h0", "h1")
     once = per.groupBy("h0", "h1", "size", "l", "main", "n_odd").agg(F.min(F.struct(*keys)).alias("k")).select("k.*", "size", F.col("l.id").alias("leader"), "main", "n_odd")
-    all_ = scratch.write(rows.select(*keys, "id", "n", "label").join(once, keys), "members")
+    all_ = scratch.write(rows.select(*keys, "id", "n", "label").join(once, keys), "open-members")
     big = all_.where((F.col("n_odd") > ODD) & (F.col("id") != F.col("leader"))).select("leader", "id", F.lit(True).alias("big"))
     parts = F.ceil(F.col("size") / SPLIT)
-    few = all_.where(F.col("n_odd") <= ODD).withColumn("part", F.pmod(F.xxhash64("id"), parts))
-    odd = few.where(F.col("label") != F.col("main")).groupBy(*keys).agg(F.collect_list(F.struct("n", "id", "label")).alias("odd"), F.max(parts).alias("parts"))  # ODD members at most
+    few = all_.where(F.col("n_odd") <= ODD).join(sets.select("id", "bits"), "id").withColumn("part", F.pmod(F.xxhash64("id"), parts))
+    odd = few.where(F.col("label") != F.col("main")).groupBy(*keys).agg(F.collect_list(F.struct("n", "id", "label", "bits")).alias("odd"), F.max(parts).alias("parts"))  # ODD members at most
     odd = odd.select(*keys, "odd", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"))
-    fits = lambda y: (y["label"] != F.col("label")) & (F.least(y["n"], F.col("n")) * 100 >= F.greatest(y["n"], F.col("n")) * percent)
-    mine = F.transform(F.filter("odd", fits), lambda y: F.struct(y["n"].alias("n"), y["id"].alias("id")))
+    mine = F.transform(F.filter("odd", fits(percent)), lambda y: F.struct(y["n"].alias("n"), y["id"].alias("id")))
     pair = few.join(odd, [*keys, "part"]).select(F.struct("n", "id").alias("x"), F.explode(mine).alias("y"))
     pair = pair.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     both = big.unionByName(pair.select(F.col("x.id").alias("leader"), F.col("y.id").alias("id"), F.lit(False).alias("big")))
     return both.groupBy("leader", "id").agg(F.max("big").alias("big"))
 
 
-def candidates(scratch: Scratch, classes: DataFrame, percent: int) -> DataFrame:
-    """(leader, id, big) of the table keys that two classes or more share."""
+def buckets(scratch: Scratch, classes: DataFrame) -> DataFrame:
+    """bucket, id, n, size and leader (the smallest set) of the table keys that two classes or more share; one of those with the same members."""
     own = classes.select("id", "n", F.posexplode("keys").alias("g", "key")).select("id", "n", F.col("g").cast("byte").alias("g"), F.xxhash64("g", "key").alias("key"))
     shared = own.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     alive = scratch.write(own.join(shared, "key").groupBy("id", "n").agg(F.collect_list(F.struct("g", "key")).alias("gs")), "shared-groups")
     side = lambda lo: F.transform(F.filter("gs", (lambda x: x["g"] < GROUPS) if lo else (lambda x: x["g"] >= GROUPS)), lambda x: x["key"])
     table = F.flatten(F.transform(side(True), lambda x: F.transform(side(False), lambda y: F.xxhash64(x, y))))
-    return led(scratch, alive.select("id", "n", F.explode(table).alias("bucket")), ["bucket"], percent)
+    rows = alive.select("id", "n", F.explode(table).alias("bucket"))
+    per = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct("n", "id")).alias("l"), *marks()).where("size > 1")
+    once = per.groupBy("h0", "h1", "size", "l").agg(F.min("bucket").alias("bucket")).select("bucket", "size", F.col("l.id").alias("leader"))
+    return scratch.write(rows.join(once, "bucket"), "members")
 
 
-def compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """leader, id, big, n, whether they link, and for big buckets the prefix of id's set without the leader's.
+def hubs(members: DataFrame) -> DataFrame:
+    """id, hub (the leader of its largest bucket), parts of the hub's members, heads (parts of its own members, if it is a hub)."""
+    of = members.groupBy("id").agg(F.max(F.when(F.col("id") != F.col("leader"), F.struct("size", "leader")))["leader"].alias("hub"))
+    parts = of.where("hub is not null").groupBy("hub").agg(F.ceil(F.count("*") / HUB_SPLIT).alias("parts"))
+    return of.join(parts, "hub", "left").join(parts.toDF("id", "heads"), "id", "left")
+
+
+def hub_links(sets: DataFrame, percent: int) -> DataFrame:
+    """Links (x, y) of each set with its hub's: one comparison a set."""
+    heads = sets.where("heads is not null").select(F.col("id").alias("hub"), F.col("s").alias("ls"), F.col("bits").alias("lbits"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("heads") - 1)).alias("part"))
+    own = sets.where("hub is not null").select("hub", F.pmod(F.xxhash64("id"), "parts").alias("part"), "id", "s", "bits")
+    both = own.join(heads, ["hub", "part"])
+    n = F.size("s") + F.size("ls")
+    can = apart(F.col("bits"), F.col("lbits")) * (100 + percent) <= n * (100 - percent)
+    common = F.size(F.array_intersect("s", "ls"))
+    return both.where(can & (common * 100 >= (n - common) * percent)).select(F.col("hub").alias("x"), F.col("id").alias("y"))
 
-    Pairs of small buckets that cannot link, by sizes and parities, are left out.
+
+def nearest(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(leader, id, big) with one pair a member of buckets of several components: the nearest, by parities, of other components' smallest sets.
+
+    These only join components early; ``led`` takes what is still apart.
     """
+    by = rows.groupBy("bucket", "label").agg(F.count("*").alias("c"), F.min(F.struct("n", "id")).alias("l"))
+    ranked = by.withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("c"), "l"))).where(F.col("r") <= ODD)
+    bits = sets.select("id", "bits")
+    reps = ranked.select("bucket", "label", "l.n", "l.id").join(bits, "id").groupBy("bucket").agg(F.collect_list(F.struct("n", "id", "label", "bits")).alias("reps")).where(F.size("reps") > 1)  # ODD at most
+    here = rows.join(reps.select("bucket"), "bucket", "left_semi").join(bits, "id").join(reps, "bucket")
+    near = F.array_min(F.transform(F.filter("reps", fits(percent)), lambda y: F.struct(apart(y["bits"], F.col("bits")).alias("d"), y["id"].alias("leader"))))
+    one = here.select("id", near.alias("near")).where("near is not null").groupBy("id").agg(F.min("near")["leader"].alias("leader"))
+    return one.select(F.least("leader", "id").alias("leader"), F.greatest("leader", "id").alias("id"), F.lit(False).alias("big")).distinct()
+
+
+def marked(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """Texts whose id has its bit in a broadcast map of ``ids``: all of these, and few others."""
+    bits = 1 << min(max(16 * ids.count(), 1 << 10).bit_length(), MAP_BITS)
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    word, bit = F.floor(at / 64).alias("__w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {bits}) % 64 as int))")
+    have = ids.select(word, bit.alias("b")).groupBy("__w").agg(F.bit_or("b").alias("__b"))
+    return texts.withColumn("__w", word).join(F.broadcast(have), "__w").where(F.col("__b").bitwiseAND(bit) != 0).select("doc_id", "text")  # 2 ** MAP_BITS / 64 rows at most
+
+
+def compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """leader, id, big, n, whether they link, and for big buckets the prefix of id's set without the leader's."""
     left = sets.select(F.col("id").alias("leader"), F.col("s").alias("ls"))
-    short = sets.select("id", F.size("s").cast("long").alias("n"), "bits")
-    few = pairs.where(~F.col("big")).join(short.toDF("leader", "ln", "lbits"), "leader").join(short, "id")
-    apart = F.aggregate(F.zip_with("bits", "lbits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    few = few.where(apart * (100 + percent) <= (F.col("n") + F.col("ln")) * (100 - percent)).select("leader", "id", "big").join(left, "leader")
+    few = pairs.where(~F.col("big")).join(left, "leader")
     many = pairs.where("big").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
     heads = many.select("leader", "salt").distinct().join(left, "leader")
     many = many.join(heads, ["leader", "salt"]).drop("salt")
@@ -233,14 +294,21 @@ def compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("leader", "id", "big", "n", hit.alias("hit"), F.when(F.col("big"), prefix).alias("prefix"))
 
 
-def refine(scratch: Scratch, star: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def needed(scratch: Scratch, sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The sets of both sides of ``pairs``."""
+    need = scratch.write(pairs.select(F.explode(F.array("leader", "id")).alias("id")).distinct(), "needed")
+    less = F.broadcast(need) if need.count() <= FEW_IDS else need  # FEW_IDS ids at most
+    return sets.join(less, "id", "left_semi").select("id", "s", "bits")
+
+
+def refine(scratch: Scratch, star: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """(leader, id, big) of the next buckets: members of one leader in different components that share a prefix shingle."""
     of = star.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     of = of.join(labels.select(F.col("id").alias("leader"), F.col("label").alias("ll")), "leader", "left").withColumn("ll", F.coalesce("ll", "leader"))
     open_ = of.where("label <> ll").select("leader").distinct()
     # only shingles of members outside the leader's component can matter: these are the odd rows
     rows = of.join(open_, "leader", "left_semi").select(F.col("leader").alias("under"), "id", "n", "label", (F.col("label") != F.col("ll")).alias("odd"), F.explode("prefix").alias("s"))
-    return led(scratch, rows, ["under", "s"], percent)
+    return led(scratch, rows, sets, ["under", "s"], percent)
 
 
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame | None:
@@ -305,23 +373,30 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     some = sk.where("n > 0 and doc_id is not null")
     classes = some.groupBy("a", "b").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     classes = scratch.write(classes.withColumn("id", F.monotonically_increasing_id()), "classes")  # numbers hold once they are written
-    group = scratch.write(candidates(scratch, classes, percent), "candidates")
-    involved = scratch.write(group.select(F.explode(F.array("leader", "id")).alias("id")).distinct().join(classes.select("id", "a", "b", "doc_id"), "id"), "involved")
-    order = common_shingles(texts, k, involved.select("doc_id").distinct())
-    own = full_sets(texts.join(involved.select("doc_id"), "doc_id", "left_semi"), k, order)
-    sets = scratch.write(own.groupBy("a", "b").agg(F.first("s").alias("s"), F.first("bits").alias("bits")).join(involved, ["a", "b"]).select("id", "s", "bits"), "sets")
-    labels, more = None, same_id(some, classes)
-    while labels is None or group.limit(1).count():
+    members = buckets(scratch, classes)
+    involved = scratch.write(hubs(members).join(classes.select("id", "a", "b", "doc_id"), "id"), "involved")
+    ids = involved.select("doc_id").distinct()
+    order = common_shingles(texts, k, ids)
+    own = full_sets(marked(texts, ids), k, order).groupBy("a", "b").agg(F.first("s").alias("s"), F.first("bits").alias("bits"))
+    sets = scratch.write(own.join(involved.drop("doc_id"), ["a", "b"]).drop("a", "b"), "sets")
+    labels = relabel(scratch, None, hub_links(sets, percent).unionByName(same_id(some, classes)))
+    named = lambda: members.join(labels, "id", "left").select("bucket", "id", "n", F.coalesce("label", "id").alias("label"), F.lit(True).alias("odd"))
+    for _ in range(NEAR):
+        group = scratch.write(nearest(named(), sets, percent), "nearest")
+        if not group.limit(1).count():
+            break
+        star = scratch.write(compare(group, needed(scratch, sets, group), percent), "stars")
+        labels = relabel(scratch, labels, star.where("hit").select(F.col("leader").alias("x"), F.col("id").alias("y")))
+        scratch.keep(sk, classes, members, sets, labels)
+    rows = named()
+    group = scratch.write(led(scratch, rows, sets, ["bucket"], percent), "candidates")
+    while group.limit(1).count():
+        scratch.keep(sk, classes, sets, group, labels)
+        sets = scratch.write(needed(scratch, sets, group), "sets")  # this and the next rounds' sets
         star = scratch.write(compare(group, sets, percent), "stars")
-        hits = star.where("hit").select(F.col("leader").alias("x"), F.col("id").alias("y"))
-        labels = relabel(scratch, labels, hits if labels is not None else hits.unionByName(more))
+        labels = relabel(scratch, labels, star.where("hit").select(F.col("leader").alias("x"), F.col("id").alias("y")))
         scratch.keep(sk, classes, sets, star, labels)
-        group = scratch.write(refine(scratch, star.where("big"), labels, percent), "candidates")
-        need = scratch.write(group.select(F.explode(F.array("leader", "id")).alias("id")).distinct(), "needed")
-        scratch.keep(sk, classes, sets, group, labels, need)
-        if need.limit(1).count():  # the next rounds' few sets, read from then on
-            sets = scratch.write(sets.join(need, "id", "left_semi"), "sets")
-            scratch.keep(sk, classes, sets, group, labels)
+        group = scratch.write(refine(scratch, star.where("big"), sets, labels, percent), "candidates")
     scratch.keep(sk, classes, labels)
     first = labels.join(classes.select("id", "doc_id"), "id").groupBy("label").agg(F.min("doc_id").alias("first"))
     first = labels.join(first, "label").select("id", "first")
