@@ -18,8 +18,8 @@ Steps
 3. Each class is first compared with one other, the smallest set of its largest
    bucket (its hub): families of near copies become components by one
    comparison a member. From here on only buckets of several components
-   matter. NEAR times, each member of one is compared with the nearest, by
-   parities, of its other components' smallest sets. Then what is still apart
+   matter. NEAR times, each set apart from its hub is compared with the nearest,
+   by parities, of the smallest sets of the components in its largest bucket. Then what is still apart
    is compared exhaustively. In such a bucket the members outside the component that most of it
    is in are its odd ones. Where they are at most ODD, each is compared with
    all other members of other components: a bounded number for each member.
@@ -77,7 +77,7 @@ from ._store import Scratch, columns
 U = np.uint64
 GROUPS, PER_GROUP = 14, 4
 #: Odd members of a bucket up to which they are compared with all of it.
-ODD = 36
+ODD = 512
 #: Parts into which a leader's members are dealt; members of a bucket that one part of it holds about.
 SALTS, SPLIT = 64, 1_024
 #: Members of a hub that one part of it holds about.
@@ -235,8 +235,9 @@ def buckets(scratch: Scratch, classes: DataFrame) -> DataFrame:
 
 
 def hubs(members: DataFrame) -> DataFrame:
-    """id, hub (the leader of its largest bucket), parts of the hub's members, heads (parts of its own members, if it is a hub)."""
-    of = members.groupBy("id").agg(F.max(F.when(F.col("id") != F.col("leader"), F.struct("size", "leader")))["leader"].alias("hub"))
+    """id, n, hub (the leader of its largest bucket) and that bucket, parts of the hub's members, heads (parts of its own members, if it is a hub)."""
+    of = members.groupBy("id", "n").agg(F.max(F.when(F.col("id") != F.col("leader"), F.struct("size", "leader", "bucket"))).alias("m"))
+    of = of.select("id", "n", F.col("m.leader").alias("hub"), F.col("m.bucket").alias("bucket"))
     parts = of.where("hub is not null").groupBy("hub").agg(F.ceil(F.count("*") / HUB_SPLIT).alias("parts"))
     return of.join(parts, "hub", "left").join(parts.toDF("id", "heads"), "id", "left")
 
@@ -252,18 +253,24 @@ def hub_links(sets: DataFrame, percent: int) -> DataFrame:
     return both.where(can & (common * 100 >= (n - common) * percent)).select(F.col("hub").alias("x"), F.col("id").alias("y"))
 
 
-def nearest(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(leader, id, big) with one pair a member of buckets of several components: the nearest, by parities, of other components' smallest sets.
+def nearest(scratch: Scratch, members: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame | None:
+    """(leader, id, big) with one pair a set that is apart from its hub: the nearest, by parities, of the other components in that bucket; None if no set is.
 
-    These only join components early; ``led`` takes what is still apart.
+    A set brings one row, however many buckets it is in. These pairs only join
+    components early; ``led`` takes what is still apart, in every bucket.
     """
+    of = lambda k: labels.select(F.col("id").alias(k), F.col("label").alias(f"{k}_label"))
+    lost = sets.where("hub is not null").select("id", "n", "bits", "hub", "bucket").join(of("id"), "id", "left").join(of("hub"), "hub", "left")
+    lost = lost.withColumn("label", F.coalesce("id_label", "id")).where(F.col("label") != F.coalesce("hub_label", "hub"))
+    lost = scratch.write(lost.select("bucket", "id", "n", "label", "bits"), "apart")
+    if lost.isEmpty():
+        return None
+    rows = members.join(lost.select("bucket").distinct(), "bucket", "left_semi").join(labels, "id", "left").select("bucket", "id", "n", F.coalesce("label", "id").alias("label"))
     by = rows.groupBy("bucket", "label").agg(F.count("*").alias("c"), F.min(F.struct("n", "id")).alias("l"))
     ranked = by.withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("c"), "l"))).where(F.col("r") <= ODD)
-    bits = sets.select("id", "bits")
-    reps = ranked.select("bucket", "label", "l.n", "l.id").join(bits, "id").groupBy("bucket").agg(F.collect_list(F.struct("n", "id", "label", "bits")).alias("reps")).where(F.size("reps") > 1)  # ODD at most
-    here = rows.join(reps.select("bucket"), "bucket", "left_semi").join(bits, "id").join(reps, "bucket")
-    near = F.array_min(F.transform(F.filter("reps", fits(percent)), lambda y: F.struct(apart(y["bits"], F.col("bits")).alias("d"), y["id"].alias("leader"))))
-    one = here.select("id", near.alias("near")).where("near is not null").groupBy("id").agg(F.min("near")["leader"].alias("leader"))
+    reps = ranked.select("bucket", "label", "l.n", "l.id").join(sets.select("id", "bits"), "id").groupBy("bucket").agg(F.collect_list(F.struct("n", "id", "label", "bits")).alias("reps"))  # ODD at most
+    near = F.array_min(F.transform(F.filter("reps", fits(percent)), lambda y: F.struct(apart(y["bits"], F.col("bits")).alias("d"), y["id"].alias("leader"))))["leader"]
+    one = lost.join(reps, "bucket").select("id", near.alias("leader")).where("leader is not null")
     return one.select(F.least("leader", "id").alias("leader"), F.greatest("leader", "id").alias("id"), F.lit(False).alias("big")).distinct()
 
 
@@ -382,15 +389,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     labels = relabel(scratch, None, hub_links(sets, percent).unionByName(same_id(some, classes)))
     named = lambda: members.join(labels, "id", "left").select("bucket", "id", "n", F.coalesce("label", "id").alias("label"), F.lit(True).alias("odd"))
     for _ in range(NEAR):
-        group = scratch.write(nearest(named(), sets, percent), "nearest")
-        if not group.limit(1).count():
+        group = nearest(scratch, members, sets, labels, percent)
+        if group is None or (group := scratch.write(group, "nearest")).isEmpty():
             break
         star = scratch.write(compare(group, needed(scratch, sets, group), percent), "stars")
         labels = relabel(scratch, labels, star.where("hit").select(F.col("leader").alias("x"), F.col("id").alias("y")))
         scratch.keep(sk, classes, members, sets, labels)
     rows = named()
     group = scratch.write(led(scratch, rows, sets, ["bucket"], percent), "candidates")
-    while group.limit(1).count():
+    while not group.isEmpty():
         scratch.keep(sk, classes, sets, group, labels)
         sets = scratch.write(needed(scratch, sets, group), "sets")  # this and the next rounds' sets
         star = scratch.write(compare(group, sets, percent), "stars")

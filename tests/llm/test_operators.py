@@ -462,3 +462,18 @@ def test_map_of_ids_keeps_every_marked_text(spark):
     want = {r.doc_id for r in ids.collect()}
     got = {r.doc_id for r in near_dedup.marked(texts, ids).collect()}
     assert want <= got and len(got) < len(want) + 3000
+
+
+def test_nearest_takes_one_row_a_set(spark, docs, monkeypatch):
+    seen = []
+    write = near_dedup.Scratch.write
+
+    def kept(self, df, name):
+        out = write(self, df, name)
+        if name == "apart":
+            seen.append((out.count(), out.select("id").distinct().count()))
+        return out
+
+    monkeypatch.setattr(near_dedup.Scratch, "write", kept)
+    near_dedup.near_duplicates(docs, 4).collect()
+    assert seen and seen[0][0] > 0 and all(n == ids for n, ids in seen)
