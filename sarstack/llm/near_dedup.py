@@ -86,6 +86,8 @@ HUB_SPLIT = 256
 NEAR = 2
 #: Bits of the map of ids that is broadcast, as a power of two; ids up to which a list of them is.
 MAP_BITS, FEW_IDS = 25, 1 << 20
+#: Edges up to which components are found on the driver (16 bytes each).
+FEW_EDGES = 1 << 18
 #: Parity bits of a set (a multiple of 64).
 BITS = 1024
 #: Texts whose shingles are counted for the order, and shingles that the order ranks.
@@ -318,6 +320,19 @@ def refine(scratch: Scratch, star: DataFrame, sets: DataFrame, labels: DataFrame
     return led(scratch, rows, sets, ["under", "s"], percent)
 
 
+def joined(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every id of the edges (x, y), ascending, and the smallest id reachable from it."""
+    ids, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+    a, b = at[: len(x)], at[len(x) :]
+    top = np.arange(len(ids))
+    while (two := top[a] != top[b]).any():
+        p, q = top[a[two]], top[b[two]]
+        np.minimum.at(top, np.maximum(p, q), np.minimum(p, q))  # roots hook to smaller ones
+        while (top[top] != top).any():
+            top = top[top]
+    return ids, ids[top]
+
+
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame | None:
     """id and label (smallest id reachable) of every id in ``edges`` (x, y); None without edges.
 
@@ -325,11 +340,23 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame | None:
     hooks are shortened, edges are renamed by it and those within one vertex
     go. Every round leaves fewer vertices and edges; the hooks composed are the
     labels. Vertices hook to smaller ones only, so the root of a component is
-    its smallest id.
+    its smallest id. Edges are joined on the driver once FEW_EDGES or fewer are
+    left: each round here costs the driver more than they do.
     """
     left = scratch.write(edges.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).where("x <> y").distinct(), "edges")
     labels = None
-    while left.limit(1).count():
+    while n_edges := left.count():
+        if n_edges <= FEW_EDGES:
+            got = left.toArrow()  # FEW_EDGES rows at most
+            v, to = joined(got.column("x").to_numpy(), got.column("y").to_numpy())
+            hook = scratch.write(edges.sparkSession.createDataFrame(pa.table({"id": v, "label": to})), "labels")
+            if labels is None:
+                scratch.drop(left)
+                return hook
+            hook = hook.toDF("v", "to")
+            labels, was = scratch.write(labels.join(hook, labels.label == hook.v, "left").select("id", F.coalesce("to", "label").alias("label")), "labels"), labels
+            scratch.drop(left, was)
+            return labels
         ends = left.select(F.explode(F.array(F.struct(F.col("y").alias("v"), F.col("x").alias("to")), F.struct(F.col("x").alias("v"), F.col("x").alias("to")))).alias("e"))
         hook = ends.groupBy("e.v").agg(F.min("e.to").alias("to"))
         for _ in range(2):  # a chain of four hooks becomes one

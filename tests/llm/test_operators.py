@@ -477,3 +477,27 @@ def test_nearest_takes_one_row_a_set(spark, docs, monkeypatch):
     monkeypatch.setattr(near_dedup.Scratch, "write", kept)
     near_dedup.near_duplicates(docs, 4).collect()
     assert seen and seen[0][0] > 0 and all(n == ids for n, ids in seen)
+
+
+def test_few_edges_take_no_rounds(spark, docs, monkeypatch):
+    names = []
+    write = near_dedup.Scratch.write
+    monkeypatch.setattr(near_dedup.Scratch, "write", lambda self, df, name: names.append(name) or write(self, df, name))
+    near_dedup.near_duplicates(docs, 4).collect()
+    assert "labels" in names and "hooks" not in names
+
+
+@pytest.mark.parametrize("few", [0, 40, 1 << 18])
+def test_components_on_the_driver_equal_the_rounds(spark, few, monkeypatch):
+    import random
+
+    monkeypatch.setattr(near_dedup, "FEW_EDGES", few)  # 0: rounds only; 40: rounds, then the driver
+    rng = random.Random(5)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(i, i + 1) for i in range(1000, 1060)] + [(7, 7)]
+    top = {v: v for e in edges for v in e if e[0] != e[1]}
+    for _ in range(len(top)):
+        for x, y in edges:
+            if x != y:
+                top[x] = top[y] = min(top[x], top[y])
+    got = near_dedup.components(near_dedup.Scratch(spark), spark.createDataFrame(edges, "x bigint, y bigint"))
+    assert {r.id: r.label for r in got.collect()} == top
