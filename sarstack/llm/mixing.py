@@ -152,7 +152,7 @@ def first_rows(rows: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, **kw) -> DataFrame:
     """``docs`` with each row as often as the mix takes it."""
     n = copies(docs, **kw).groupBy("doc_id", "tie").agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows")).where("__copies > 0")
-    n = n.withColumnsRenamed({"doc_id": "__id", "tie": "__tie"})
+    n = written(n.withColumnsRenamed({"doc_id": "__id", "tie": "__tie"}), "copies")  # numbers only: read twice below, planned and computed once
     tie = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
     joined = docs.join(n, F.col("doc_id").eqNullSafe(F.col("__id")) & (tie == F.col("__tie")))
     times = lambda c: F.explode(F.sequence(F.lit(1).cast("long"), c))

@@ -46,7 +46,9 @@ Steps
    set goes to SALTS parts of its members (a hub's to one for each HUB_SPLIT), and a bucket's odd members to one
    part of it for each SPLIT members, so no key is one task's work.
 6. Components by minimum labels with contraction, a written table each round.
-   A written table is deleted when its successors are written.
+   A written table is deleted when its successors are written. Every plan costs
+   the driver memory, so rounds that the comparisons to come make needless
+   (NEAR with FEW_APART sets or fewer, step 4 without large buckets) are left out.
 
 Recall of the candidate search at similarity s, with g hashes a group:
 (1 - (1 - s**g)**m)**2, i.e. 0.9988 at 0.8 and 0.9999993 at 0.9 for g = 4, m = 14.
@@ -84,6 +86,8 @@ SALTS, SPLIT = 64, 1_024
 HUB_SPLIT = 256
 #: Rounds of comparisons with the nearest of other components.
 NEAR = 2
+#: Sets apart from their hubs up to which there are none of these: the exhaustive comparisons take them at once.
+FEW_APART = 256
 #: Bits of the map of ids that is broadcast, as a power of two; ids up to which a list of them is.
 MAP_BITS, FEW_IDS = 25, 1 << 20
 #: Edges up to which components are found on the driver (16 bytes each).
@@ -256,7 +260,7 @@ def hub_links(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def nearest(scratch: Scratch, members: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame | None:
-    """(leader, id, big) with one pair a set that is apart from its hub: the nearest, by parities, of the other components in that bucket; None if no set is.
+    """(leader, id, big) with one pair a set that is apart from its hub: the nearest, by parities, of the other components in that bucket; None if FEW_APART sets or fewer are.
 
     A set brings one row, however many buckets it is in. These pairs only join
     components early; ``led`` takes what is still apart, in every bucket.
@@ -265,7 +269,7 @@ def nearest(scratch: Scratch, members: DataFrame, sets: DataFrame, labels: DataF
     lost = sets.where("hub is not null").select("id", "n", "bits", "hub", "bucket").join(of("id"), "id", "left").join(of("hub"), "hub", "left")
     lost = lost.withColumn("label", F.coalesce("id_label", "id")).where(F.col("label") != F.coalesce("hub_label", "hub"))
     lost = scratch.write(lost.select("bucket", "id", "n", "label", "bits"), "apart")
-    if lost.isEmpty():
+    if lost.count() <= FEW_APART:
         return None
     rows = members.join(lost.select("bucket").distinct(), "bucket", "left_semi").join(labels, "id", "left").select("bucket", "id", "n", F.coalesce("label", "id").alias("label"))
     by = rows.groupBy("bucket", "label").agg(F.count("*").alias("c"), F.min(F.struct("n", "id")).alias("l"))
@@ -380,7 +384,9 @@ def relabel(scratch: Scratch, labels: DataFrame | None, edges: DataFrame) -> Dat
     """Labels after further ``edges`` (x, y): only those between different labels count."""
     if labels is None:
         found = components(scratch, edges)
-        return scratch.write(edges.sparkSession.createDataFrame([], "id bigint, label bigint") if found is None else found, "labels")
+        if found is None:
+            found = edges.sparkSession.createDataFrame([], "id bigint, label bigint")
+        return found if id(found) in scratch.paths else scratch.write(found, "labels")
     of = lambda k: labels.select(F.col("id").alias(k), F.col("label").alias(f"{k}2"))
     e = edges.join(of("x"), "x", "left").join(of("y"), "y", "left").select(F.coalesce("x2", "x").alias("x"), F.coalesce("y2", "y").alias("y")).where("x <> y")
     found = components(scratch, e)
@@ -392,6 +398,13 @@ def relabel(scratch: Scratch, labels: DataFrame | None, edges: DataFrame) -> Dat
     return scratch.write(old.unionByName(fresh), "labels")
 
 
+def involved_sets(texts: DataFrame, k: int, involved: DataFrame) -> DataFrame:
+    """``involved`` with each class's set, the rarest shingles first, and its parities."""
+    ids = involved.select("doc_id").distinct()
+    own = full_sets(marked(texts, ids), k, common_shingles(texts, k, ids)).groupBy("a", "b").agg(F.first("s").alias("s"), F.first("bits").alias("bits"))
+    return own.join(involved.drop("doc_id"), ["a", "b"]).drop("a", "b")
+
+
 def same_id(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """Edges (x, y) between the classes of each id that has texts of several."""
     twice = rows.groupBy("doc_id").agg(F.min(F.struct("a", "b")).alias("lo"), F.max(F.struct("a", "b")).alias("hi")).where("lo <> hi").select("doc_id")
@@ -409,10 +422,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     classes = scratch.write(classes.withColumn("id", F.monotonically_increasing_id()), "classes")  # numbers hold once they are written
     members = buckets(scratch, classes)
     involved = scratch.write(hubs(members).join(classes.select("id", "a", "b", "doc_id"), "id"), "involved")
-    ids = involved.select("doc_id").distinct()
-    order = common_shingles(texts, k, ids)
-    own = full_sets(marked(texts, ids), k, order).groupBy("a", "b").agg(F.first("s").alias("s"), F.first("bits").alias("bits"))
-    sets = scratch.write(own.join(involved.drop("doc_id"), ["a", "b"]).drop("a", "b"), "sets")
+    sets = scratch.write(involved_sets(texts, k, involved), "sets")
+    scratch.keep(sk, classes, members, sets)
     labels = relabel(scratch, None, hub_links(sets, percent).unionByName(same_id(some, classes)))
     named = lambda: members.join(labels, "id", "left").select("bucket", "id", "n", F.coalesce("label", "id").alias("label"), F.lit(True).alias("odd"))
     for _ in range(NEAR):
@@ -430,6 +441,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         star = scratch.write(compare(group, sets, percent), "stars")
         labels = relabel(scratch, labels, star.where("hit").select(F.col("leader").alias("x"), F.col("id").alias("y")))
         scratch.keep(sk, classes, sets, star, labels)
+        if star.where("big").isEmpty():
+            break
         group = scratch.write(refine(scratch, star.where("big"), sets, labels, percent), "candidates")
     scratch.keep(sk, classes, labels)
     first = labels.join(classes.select("id", "doc_id"), "id").groupBy("label").agg(F.min("doc_id").alias("first"))

@@ -501,3 +501,22 @@ def test_components_on_the_driver_equal_the_rounds(spark, few, monkeypatch):
                 top[x] = top[y] = min(top[x], top[y])
     got = near_dedup.components(near_dedup.Scratch(spark), spark.createDataFrame(edges, "x bigint, y bigint"))
     assert {r.id: r.label for r in got.collect()} == top
+
+
+def test_few_sets_apart_cost_no_further_plans(spark, docs, monkeypatch):
+    """Every plan costs the driver memory: rounds that what follows makes needless are left out, and classes stay the same."""
+    names = []
+    write = near_dedup.Scratch.write
+    monkeypatch.setattr(near_dedup.Scratch, "write", lambda self, df, name: names.append(name) or write(self, df, name))
+    key = lambda r: (r.doc_id is None, r.doc_id, r.n_shingles)
+    got = sorted(near_dedup.near_duplicates(docs, 4).collect(), key=key)
+    assert "nearest" not in names and names.count("labels") <= 3 and names.count("candidates") == 1
+    monkeypatch.setattr(near_dedup, "FEW_APART", 0)
+    names.clear()
+    assert got == sorted(near_dedup.near_duplicates(docs, 4).collect(), key=key) and "nearest" in names
+
+
+def test_mix_plans_its_counts_once(spark, docs):
+    """Texts are joined with written counts: the counts' own plan is not repeated for even and uneven rows."""
+    plan = mixing.mix(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window") == 0 and plan.count("Join") == 2
